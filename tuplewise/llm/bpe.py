@@ -24,26 +24,38 @@ from tuplewise.llm.common import small_batches
 
 #: Bytes that the rolling hash sees; a chunk begins at a word start whose hash has its top BITS bits 0, one in 2**BITS.
 WINDOW, BITS = 8, 7
-#: Chunks and words that a worker keeps; the older half goes when a store is full.
-CHUNKS, WORDS = 4096, 500_000
+#: Chunks and words that a worker keeps in each of a store's two generations.
+CHUNKS, WORDS = 8192, 350_000
 _SPACE = b" \t\n\r\x0b\x0c"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-#: ASCII letters, then ASCII signs: what is looked up in two pieces when the whole is not known.
-_TAILED = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]*)")
+#: Latin-1 letters, then ASCII signs: what is looked up in two pieces when the whole is not known.
+_TAILED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: Words whose direct encoding is compared with the whole tokenizer's before it is trusted.
+TRIED = 2000
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters that stand for bytes in byte-level vocabularies.
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _worker: dict[str, "Encoder"] = {}
 
 
 class Store(dict):
-    """A dictionary of at most ``limit`` entries: the older half goes first."""
+    """A dictionary of two generations: once the younger is full it becomes the older, and that one goes.
+
+    What is looked up in the older one moves to the younger, so common entries stay.
+    """
 
     def __init__(self, limit: int):
-        self.limit = limit
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
 
     def trim(self) -> None:
         if len(self) > self.limit:
-            for key in list(self)[: len(self) - self.limit // 2]:
-                del self[key]
+            self.old = dict(self)
+            self.clear()
 
 
 def cuts(data: bytes) -> list[int]:
@@ -61,8 +73,8 @@ def cuts(data: bytes) -> list[int]:
 class Encoder:
     """One worker's tokenizer and what it has encoded.
 
-    A piece is (ids as decimal text, ids decoded), both as bytes: pieces that
-    agree at their joins are put together by one space and by ``glue``.
+    Ids are kept as decimal text, in bytes: pieces that agree at their joins are put
+    together by one space.
     """
 
     def __init__(self, path: str):
@@ -71,81 +83,101 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.chunks, self.words, self.joins = Store(CHUNKS), Store(WORDS), Store(WORDS // 4)
-        #: Without a decoder tokens are joined by spaces, so decoding can be put together too.
+        self.chunks, self.words, self.letters, self.joins = Store(CHUNKS), Store(WORDS), Store(WORDS), Store(WORDS // 8)
+        self.model, self.direct, self.tried = self.tok.model, True, 0
+        size = self.tok.get_vocab_size()
+        self.shown = [str(i).encode() for i in range(size)]
+        #: Without a decoder tokens are joined by spaces, so decoding is a lookup.
         self.plain = self.tok.decoder is None
+        self.names = {str(i).encode(): (self.tok.id_to_token(i) or "").encode() for i in range(size)}
+        #: Whether some word has no tokens, trailing signs proven to join, and whether case leaves no trace in ids.
+        self.blank = False
+        self.tails: dict[bytes, bytes] = {}
+        letters = [chr(x) + y for x in (*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)) for y in ("", "b")]
+        self.lower = all(self._ids(x) == self._ids(x.lower()) for x in letters)
         #: White space leaves no trace in ids, so that words can be encoded one by one and joined.
         probe = "Ab c'd\n e9\t\tfé! <g> h"
-        self.blank = {(b"", b"")}
-        #: Trailing signs proven to join, and whether ASCII case leaves no trace in ids.
-        self.tails: set[bytes] = set()
-        letters = [chr(x) + y for x in range(65, 91) for y in ("", "b")]
-        self.lower = all(self._ids(x) == self._ids(x.lower()) for x in letters)
         self.by_word = self.plain and self._ids(probe) == [i for w in probe.split() for i in self._ids(w)]
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return " ".join(map(str, ids)).encode(), self.tok.decode(ids, skip_special_tokens=False).encode() if self.plain else b""
-
-    def _encode_words(self, words: list[bytes]) -> None:
-        name = self.tok.id_to_token
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            for word, got in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                ids = got.ids
-                self.words[word] = " ".join(map(str, ids)).encode(), " ".join(map(name, ids)).encode()
+    def _text(self, ids: list[int]) -> bytes:
+        return b" ".join([self.shown[i] for i in ids])
+
+    def _letters(self, word: bytes) -> bytes:
+        """The ids of a run of lower-case letters: from the BPE model itself, as long as the whole tokenizer agrees on those tried."""
+        if self.direct:
+            text = word.decode() if word.isascii() else "".join(map(_BYTES.__getitem__, word))
+            shown = self.shown
+            own = b" ".join([shown[t.id] for t in self.model.tokenize(text)])
+            if self.tried >= TRIED:
+                return own
+            self.tried += 1
+            self.direct = own == self._text(self._ids(word.decode()))
+            if self.direct:
+                return own
+        return self._text(self._ids(word.decode()))
 
     def _learn(self, words: list[bytes]) -> None:
         """Put ``words`` into the store: in two pieces, letters and trailing signs, where that join is proven; else whole."""
-        split, whole = [], []
+        whole, known, older, letters, tails = [], self.words, self.words.old, self.letters, self.tails
         for word in words:
-            m = _TAILED.fullmatch(word) if self.lower else None
-            if m and (m[2] in self.tails or self._tail(m[1], m[2])):
-                split.append((word, m[1].lower(), m[2]))
-            else:
-                whole.append(word)
-        known = self.words
-        whole += {x for _, a, b in split for x in (a, b) if x and x not in known}
-        self._encode_words(whole)
-        for word, a, b in split:
-            if word not in known:
-                x, y = known[a], known[b] if b else None
-                known[word] = (x[0] + b" " + y[0], x[1] + b" " + y[1]) if y else x
+            own = older.get(word)
+            if own is None:
+                m = _TAILED.fullmatch(word) if self.lower else None
+                if m is None or not (m[2] in tails or self._tail(m[1], m[2])):
+                    whole.append(word)
+                    continue
+                core = m[1].lower() if m[1].isascii() else m[1].decode().lower().encode()
+                try:
+                    own = letters[core]
+                except KeyError:
+                    own = letters[core] = self._letters(core)
+                own += tails[m[2]]
+            known[word] = own
+        for at in range(0, len(whole), 1000):
+            some = whole[at : at + 1000]
+            for word, got in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[word] = self._text(got.ids)
+                self.blank = self.blank or not known[word]
 
     def _tail(self, letters: bytes, signs: bytes) -> bool:
-        """Whether these signs have been seen to join letters without change, whatever the letters' case."""
+        """Whether these signs are seen to join letters without change, whatever the letters' case."""
         word, tail = (letters + signs).decode(), signs.decode()
-        apart = self._ids(letters.decode().lower()) + (self._ids(tail) if tail else [])
-        if self._ids(word) != apart:
+        own = self._ids(tail) if tail else []
+        if self._ids(word) != self._ids(letters.decode().lower()) + own:
             return False
-        self.tails.add(signs)
+        if len(self.tails) > 100_000:
+            self.tails.clear()
+        self.tails[signs] = b" " + self._text(own) if own else b""
         return True
 
-    def _chunk(self, data: bytes) -> tuple[bytes, bytes]:
+    def _chunk(self, data: bytes) -> bytes:
         if not self.by_word:
-            return self._piece(self._ids(data.decode()))
+            return self._text(self._ids(data.decode()))
         words = data.split()
         get = self.words.get
         got = list(map(get, words))
         if None in got:
-            self._learn(list({w for w, g in zip(words, got) if g is None}))
+            self._learn([w for w, g in zip(words, got) if g is None])
             got = list(map(get, words))
-        if self.blank.intersection(got):
-            got = [g for g in got if g[0]]
-        ids, texts = zip(*got) if got else ((), ())
-        return b" ".join(ids), b" ".join(texts)
+        ids = b" ".join(got)
+        return b" ".join(ids.split()) if self.blank else ids
+
+    def _word(self, data: bytes) -> bytes:
+        return self._chunk(data) if self.by_word else self._text(self._ids(data.decode()))
 
     def _agree(self, left: bytes, right: bytes) -> bool:
         """Whether the last word of ``left`` and the first of ``right`` encode together to what they encode to apart."""
-        a = left[len(left.rstrip()) - len(left.split()[-1]) if left.strip() else 0 :]
+        a = left[len(left.rstrip()) - len(left[-4096:].split()[-1]) :] if left[-4096:].strip() else left
         b = right[: _WORD.search(right).end()] if right.strip() else right
-        known = self.joins.get((a, b))
-        if known is None:
-            known = self._ids((a + b).decode()) == self._ids(a.decode()) + self._ids(b.decode())
-            self.joins[a, b] = known
-        return known
+        try:
+            return self.joins[a, b]
+        except KeyError:
+            apart = b" ".join(x for x in (self._word(a), self._word(b)) if x)
+            same = self.joins[a, b] = self._text(self._ids((a + b).decode())) == apart
+            return same
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """The ids of ``text`` as decimal text, and decoded."""
@@ -155,7 +187,7 @@ class Encoder:
         if len(parts) > 1:
             merged = parts[:1]
             for part in parts[1:]:
-                # a whole part joins the last: its join is looked at again with what is merged
+                # parts that don't agree become one, whose next join is looked at in turn
                 if self._agree(merged[-1], part):
                     merged.append(part)
                 else:
@@ -163,17 +195,17 @@ class Encoder:
             parts = merged
         out = []
         for part in parts:
-            piece = self.chunks.get(part)
-            if piece is None:
+            try:
+                piece = self.chunks[part]
+            except KeyError:
                 piece = self.chunks[part] = self._chunk(part)
-            if piece[0]:
+            if piece:
                 out.append(piece)
-        self.chunks.trim()
-        self.joins.trim()
-        self.words.trim()
-        ids = b" ".join([p[0] for p in out])
+        for store in (self.chunks, self.joins, self.words, self.letters):
+            store.trim()
+        ids = b" ".join(out)
         if self.plain:
-            return ids, b" ".join([p[1] for p in out])
+            return ids, b" ".join(map(self.names.__getitem__, ids.split()))
         return ids, self.tok.decode([int(i) for i in ids.split()], skip_special_tokens=False).encode()
 
 
