@@ -1,0 +1 @@
+"""The language has no streams: queries are batch queries, and event tables are read as tables."""
