@@ -103,7 +103,7 @@ def block_topk(queries: DataFrame, candidates: DataFrame, k: int, kernel: Kernel
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {len(r.vec) for r in seeds}:
         own = [r for r in seeds if len(r.vec) == dim]
-        by_dim[dim] = np.array([r.id for r in own]), np.array([r.vec for r in own], float).reshape(-1, dim)
+        by_dim[dim] = np.array([r.id for r in own]), np.array([r.vec for r in own], float).reshape(len(own), dim)
 
     def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
         dim = key[0].as_py()

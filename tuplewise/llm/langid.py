@@ -133,4 +133,7 @@ def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang:
             new = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, *added])
 
-    return docs.select(*[f"`{c}`" for c in keep], F.col(text).alias("text_")).mapInArrow(run, schema)
+    own = "text_"
+    while own in keep:
+        own += "_"
+    return docs.select(*[f"`{c}`" for c in keep], F.col(text).alias(own)).mapInArrow(run, schema)

@@ -125,13 +125,15 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     planned = small(plan(rows))
     x = F.coalesce(F.col(text), F.lit(""))
     mark = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), x).cast("binary"))
-    u = (F.conv(F.substring("tie_", 1, 12), 16, 10).cast("double") + 0.5) / 2**48
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], mark.alias("tie_"), quality(F.col(text)).alias("w_"), words(F.col(text)).alias("size_"))
-    own = own.withColumn("key_", -F.log(u) / F.col("w_")).withColumn("class_", F.floor((1 - F.exp(-F.col("key_"))) * CLASSES).cast("int"))
-    joined = own.alias("a").join(planned.withColumnRenamed("source", "source_").alias("b"), F.col(f"a.{source}").eqNullSafe(F.col("b.source_")))
-    times = F.col("epochs") + F.coalesce(copies(F.col("end"), F.col("class_"), F.col("key_"), F.col("tie_")), F.lit(0))
-    often = joined.withColumn("times_", F.when(F.col("size_") > 0, times).otherwise(0).cast("int")).where("times_ > 0")
-    return often.withColumn("n_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*[F.col(f"a.{c}") for c in docs.columns])
+    u = (F.conv(F.substring("tie", 1, 12), 16, 10).cast("double") + 0.5) / 2**48
+    # the row is kept as a struct, so that no column of it meets one of ours
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, F.col(source).alias("of"), mark.alias("tie"), quality(F.col(text)).alias("w"), words(F.col(text)).alias("size"))
+    own = own.withColumn("key", -F.log(u) / F.col("w")).withColumn("class", F.floor((1 - F.exp(-F.col("key"))) * CLASSES).cast("int"))
+    joined = own.join(planned, F.col("of").eqNullSafe(F.col("source")))
+    times = F.col("epochs") + F.coalesce(copies(F.col("end"), F.col("class"), F.col("key"), F.col("tie")), F.lit(0))
+    often = joined.withColumn("times", F.when(F.col("size") > 0, times).otherwise(0).cast("int")).where("times > 0")
+    return often.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def oracle_sql() -> str:
