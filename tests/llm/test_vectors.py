@@ -58,6 +58,10 @@ def test_nearest_has_full_recall_and_exact_scores(spark, sf):
     assert all(abs(r.score - math.fsum(a * b for a, b in zip(by[r.query_id], by[r.vec_id]))) < 1e-12 for r in got)
 
 
+def test_nearest_is_its_sql(spark, sf, same):
+    same(queries.op4_ann(spark, sf), queries.oracle_sql()["op4_ann"])
+
+
 def test_nearest_with_ties_zero_vectors_and_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (3, [0.5, 1.0]), (2, [0.5, -1.0]), (1, [-1.0, 0.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()

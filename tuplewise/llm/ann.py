@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tuplewise.llm import blocks
 
 TILE_Q, TILE_X = 1024, 8192
+#: Surviving pairs that are rescored at once.
+PAIRS = 32768
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -19,6 +21,14 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.abs(codes.astype(np.int16)).sum(1).astype(float)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed component after component, so that they are the same wherever they are computed."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
 def search(q_ids, q, ids, x, seed_ids, seeds, k):
     """Every (query, row) pair of a cell, in tiles of int8 products.
 
@@ -59,7 +69,7 @@ def search(q_ids, q, ids, x, seed_ids, seeds, k):
             r, c = np.nonzero((near >= kth[:, None]) & (near > -np.inf))
             if not len(r):
                 continue
-            score = np.concatenate([np.einsum("ij,ij->i", own[r[i : i + 65536]], x[b + c[i : i + 65536]]) for i in range(0, len(r), 65536)])
+            score = np.concatenate([products(own[r[i : i + PAIRS]], x[b + c[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)])
             # merge: the survivors of each query join its k best
             rows, first = np.unique(r, return_index=True)
             r_all = np.concatenate([np.repeat(rows, k), r])

@@ -81,6 +81,10 @@ def oracle_sql() -> dict[str, str]:
         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         sum({len(chat.TURN + chat.SAYS + chat.END)} + length(regexp_replace(role, '{_CONTROL}', '\1\2\\\3', 'g')) + length(regexp_replace(text, '{_CONTROL}', '\1\2\\\3', 'g')))::BIGINT AS formatted_chars
     FROM n GROUP BY conv_id""",
+        "op4_ann": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {usable} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
         "op6_urls": urls.oracle_sql(),
         "op10_mixing": mixing.oracle_sql(),
     }
