@@ -11,10 +11,17 @@ class Node:
     """Any expression."""
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Literal(Node):
     value: object  # int, float, str, bool or None
 
+    def __eq__(self, other):
+        """1, 1.0 and true are different literals."""
+        return isinstance(other, Literal) and type(self.value) is type(other.value) and self.value == other.value
+
+    def __hash__(self):
+        return hash((type(self.value), self.value))
+
 
 @dataclass(frozen=True)
 class Param(Node):

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuplewise import results
 from tuplewise import validation as V
+from tuplewise.catalog import INT, STRING, Column, Entity
 from tuplewise.engine import Engine, merge
 from tuplewise.tables import catalog
 
@@ -155,8 +157,54 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge(e.query("range of r is Region retrieve (name=r.name)"), e.query("range of n is Nation retrieve (name=n.name, region=n.regionKey)"))
 
 
+def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _engine(spark, sf_dir).related("Customer", "orders").where("orders is not null")
+    first = results.sort_collection(F.col("orders"), "priority desc, orderKey", {"priority": STRING, "orderKey": INT})[0]
+    return rows.select("custKey", first["orderKey"].alias("first"))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).query("range of n is Nation retrieve (id=n.nationKey, name=n.name, region=n.regionKey)")
+
+
+def _inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tuplewise.sources.files import scratch
+
+    entity = Entity("Numbered", "numbered", {"id": Column("n_id", INT), "name": Column("n_name", STRING), "version": Column("n_version", INT)}, "id")
+    path = scratch(spark)
+    for _ in range(2):
+        results.insert(_nations(spark, sf_dir).select("name"), entity, path, version="version")
+    rows = spark.read.parquet(path)
+    return rows.groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("n"), F.max("n_version").alias("version")).crossJoin(F.broadcast(rows.agg(F.count_distinct("n_id").alias("ids"), F.max("n_id").alias("last"))))
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nations(spark, sf_dir).withColumn("version", F.col("region"))
+    changes = rows.where("id % 2 = 0").select("id", F.lit("changed").alias("name"), F.lit(1).alias("version"))
+    return results.updated(rows, changes, "id", "version")
+
+
+def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _engine(spark, sf_dir)
+    customers = e.query("range of c is Customer retrieve (cust=c.custKey, nation=c.nationKey)")
+    gone = _nations(spark, sf_dir).where("region = 1")
+    return results.deleted(_nations(spark, sf_dir), gone, "id", {"customers": (customers, "nation")})["customers"]
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _engine(spark, sf_dir).query("range of o is Order retrieve (id=o.orderKey, status=o.status, secs=o.custKey * 3600)")
+    return results.normalise(rows, {"status": "enum:F|O", "secs": "interval"}).where("id < 300")
+
+
 CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "find_by": (lambda s, d: _engine(s, d).find_by("Customer", {"segment": "BUILDING", "nationKey": [1, 2, 3]}, "name desc").select("custKey", "name"), "SELECT c_custkey AS \"custKey\", c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3)"),
+    "json_rows": (lambda s, d: results.to_json(_nations(s, d)), "SELECT to_json({'id': n_nationkey, 'name': n_name, 'region': n_regionkey})::VARCHAR AS json FROM nation"),
+    "json_api_rows": (lambda s, d: results.to_json_api(_nations(s, d), "nation", "id", "/api", {"region": ("region", "region")}), "SELECT to_json({'type': 'nation', 'id': n_nationkey::VARCHAR, 'attributes': {'name': n_name}, 'relationships': {'region': {'data': {'type': 'region', 'id': n_regionkey::VARCHAR}}}, 'links': {'self': '/api/nation/' || n_nationkey}})::VARCHAR AS json FROM nation"),
+    "sorted_collections": (_sorted, "SELECT o_custkey AS \"custKey\", first(o_orderkey ORDER BY lower(o_orderpriority) DESC, o_orderkey) AS first FROM orders GROUP BY 1"),
+    "inserted_rows": (_inserted, "SELECT n_name AS name, count(*) * 2 AS n, 1 AS version, CAST((SELECT count(*) * 2 FROM nation) AS BIGINT) AS ids, CAST((SELECT count(*) * 2 FROM nation) AS BIGINT) AS last FROM nation GROUP BY 1"),
+    "updated_rows": (_updated, "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 AND n_regionkey = 1 THEN 'changed' ELSE n_name END AS name, n_regionkey AS region, CASE WHEN n_nationkey % 2 = 0 AND n_regionkey = 1 THEN 2 ELSE n_regionkey END AS version FROM nation"),
+    "deleted_cascade": (_deleted, "SELECT c_custkey AS cust, c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
+    "normalised_values": (_normalised, "WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status, o_custkey * 3600 AS s FROM orders WHERE o_orderkey < 300), p AS (SELECT id, status, s, [(s // 31536000, 'year'), (s % 31536000 // 2592000, 'month'), (s % 31536000 % 2592000 // 604800, 'week'), (s % 31536000 % 2592000 % 604800 // 86400, 'day'), (s % 31536000 % 2592000 % 604800 % 86400 // 3600, 'hour')] AS u FROM t) SELECT id, status, CASE WHEN s = 0 THEN '0 seconds' ELSE array_to_string(list_transform(list_filter(u, lambda x: x[1] > 0), lambda x: x[1] || ' ' || x[2] || CASE WHEN x[1] = 1 THEN '' ELSE 's' END), ' ') END AS secs FROM p"),
     "get_col": (lambda s, d: _engine(s, d).get_col(C + "retrieve (segment=c.segment, name=c.name)"), "SELECT DISTINCT c_mktsegment AS segment FROM customer"),
     "related_collections": (_related, "SELECT c_custkey AS \"custKey\", CAST(count(o_orderkey) AS INT) AS n, coalesce(max(o_orderkey), -1) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "merged_results": (_merged, "SELECT r_name AS name, CAST(NULL AS INT) AS region FROM region UNION ALL SELECT n_name, n_regionkey FROM nation"),
