@@ -25,7 +25,7 @@ from tuplewise.llm.common import small_batches
 #: Bytes that the rolling hash sees; a chunk begins at a word start whose hash has its top BITS bits 0, one in 2**BITS.
 WINDOW, BITS = 8, 7
 #: Chunks and words that a worker keeps in each of a store's two generations.
-CHUNKS, WORDS = 8192, 350_000
+CHUNKS, WORDS = 2048, 180_000
 _SPACE = b" \t\n\r\x0b\x0c"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Latin-1 letters, then ASCII signs: what is looked up in two pieces when the whole is not known.

@@ -132,15 +132,17 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text") -> tuple
     """
     seen = scanned.where("near is not null").select("k", F.explode("near").alias("n")).select("k", F.col("n.e").alias("e"), F.col("n.c").alias("c"), F.explode("n.terms").alias("term"))
     support = seen.select("e", "term", "c").distinct().groupBy("e", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    pairs = materialise(support)
+    together = seen.select("e", "term", "k").distinct().groupBy("e", "term").agg(F.count("*").alias("n_et"))
+    # a term is in at least the texts in which it stands near any value: what is too common there need not be counted
+    near = seen.select("term", "k").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = materialise(support.join(together, ["e", "term"]).join(near, "term").where(F.col("n_et") / F.col("n_near") >= GENERALISE).select("e", "term", "n_et"))
     terms = materialise(pairs.select("term").distinct())
     if not terms.limit(1).count():
         return None
     hits = materialise(_terms_of(docs, text).join(small(terms), "term").select("k", "term").distinct())
-    both = seen.join(small(pairs), ["e", "term"], "left_semi").select("e", "term", "k").distinct().groupBy("e", "term").agg(F.count("*").alias("n_et"))
     texts = F.broadcast(scanned.select("k").distinct().agg(F.count("*").alias("n")))
     values = scanned.where("near is not null").select("k", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    known = both.join(hits.groupBy("term").agg(F.count("*").alias("n_t")), "term").join(values, "e").join(texts)
+    known = pairs.join(hits.groupBy("term").agg(F.count("*").alias("n_t")), "term").join(values, "e").join(texts)
     sure = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
     rated = known.select("term", sure.alias("sure"), F.log2(sure * F.col("n") / F.col("n_e")).alias("bits"))
     worst = rated.where((F.col("bits") >= BITS) & (F.col("sure") >= GENERALISE)).groupBy("term").agg(F.max("sure").alias("sure"))
@@ -206,14 +208,15 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     scanned = scan(docs, id_col, text)
     by_text = _by_text(disclosing(docs, scanned, text))
     cols = docs.columns
-    rows = docs.withColumn("x_", F.coalesce(F.col(text), F.lit("")))
+    # the row is kept as a struct, so that no column of it meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(text).alias("raw"), F.coalesce(F.col(text), F.lit("")).alias("x_"))
     if by_text is None:
         rows = rows.withColumn("terms_", F.lit(None).cast("array<string>")).withColumn("actions_", F.lit(None).cast("map<string,string>"))
     else:
         keyed = rows.withColumn("k_", F.md5(F.col("x_").cast("binary")))
         rows = keyed.join(small(by_text.select(F.col("k").alias("k_"), F.col("terms").alias("terms_"), F.col("actions").alias("actions_"))), "k_", "left")
     base = base_spans(F.col("x_"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in cols], "x_", "terms_", "actions_", *[c.alias(f"{k}_") for k, c in base.items()])
+    rows = rows.select("row", "raw", "x_", "terms_", "actions_", *[c.alias(f"{k}_") for k, c in base.items()])
     taken = [F.col(f"{k}_") for k in PATTERNS]
     terms = F.when(F.col("terms_").isNotNull(), _term_spans(F.col("x_"), F.col("terms_"), taken)).otherwise(F.array().cast(f"array<{SPAN}>"))
     def marked(i: int, k: str):
@@ -231,5 +234,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(F.col("spans_"), start, step, lambda acc: F.concat(acc["out"], F.substr(x, acc["at"] + 1, F.length(x))))
-    rows = rows.withColumn("clean_", F.when(F.size("spans_") > 0, clean).otherwise(F.col(text)))
-    return rows.select(*[F.col("clean_").alias(c) if c == text else F.col(f"`{c}`") for c in cols])
+    rows = rows.withColumn("clean_", F.when(F.size("spans_") > 0, clean).otherwise(F.col("raw")))
+    return rows.select(*[F.col("clean_").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in cols])

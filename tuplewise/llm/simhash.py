@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +37,13 @@ def _fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(ends)).tobytes(), "big", signed=True)
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([_fingerprint(x) for x in texts], dtype="int64")
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array([_fingerprint(x.as_py()) for x in texts], pa.int64())
 
 
 def fingerprint(text: Column) -> Column:
     """64 bits as a signed long: bit set if set in over half the XXH64 of the text's shingles of 3 words."""
-    return F.pandas_udf(_fingerprints, LongType())(text)
+    return F.arrow_udf(_fingerprints, LongType())(text)
 
 
 def as_hex(bits: Column) -> Column:
