@@ -184,9 +184,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     if by_text is None:
         return scanned.select("doc_id", *PATTERNS, none.alias("term"))
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("x")).withColumn("k", F.md5(F.col("x").cast("binary")))
-    hit = texts.join(small(by_text), "k").select("k", "x", "terms").dropDuplicates(["k"])
+    hit = texts.join(small(by_text), "k").select("k", "x", "terms")
+    # placed where the texts are read, so that spans are shuffled and not texts
     placed = hit.select("k", _term_spans(F.col("x"), F.col("terms"), list(base_spans(F.col("x")).values())).alias("term"))
-    placed = small(materialise(placed))
+    placed = small(materialise(placed.dropDuplicates(["k"])))
     return scanned.join(placed, "k", "left").select("doc_id", *PATTERNS, F.coalesce("term", none).alias("term"))
 
 
