@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -101,3 +103,44 @@ def test_overlapping_spans_are_replaced_once(spark):
     df = spark.createDataFrame([(1, "call +4524132264652 now 1.2.3.4@5.com é")], "doc_id long, text string")
     text = pii.sanitise(df).first().text
     assert text.endswith(" é") and "4524132264652" not in text and "5.com" not in text
+
+
+def test_terms_anywhere_in_a_text_are_counted(spark):
+    """A name of two letters in the heading, its address over 64 characters below under the same signature each time."""
+    plain = " ".join(["the record goes on with words that all records have"] * 4)
+    rows = [(i, f"Wu {chr(97 + i)}{chr(98 + i)}z {plain} Yours, at wu@mail.example.com") for i in range(6)]
+    rows += [(50 + i, f"{plain} Yours at {chr(97 + i // 8)}{chr(97 + i % 8)}y") for i in range(100)]
+    # near the value in 4 of 10 texts, far from it in the others
+    far = plain + " nothing at all is said in here that others do not say"
+    rows += [(200 + i, f"{chr(97 + i)}{chr(98 + i)}x Zorblax {'' if i < 4 else far} zor@mail.example.org {plain}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, t.t) for r in pii.find(df).collect() for t in r.term}
+    assert {(i, "Wu") for i in range(6)} | {(200 + i, "Zorblax") for i in range(10)} <= found
+    assert not {t for _, t in found} & {"the", "record", "words", "Yours", "at", "wu", "mail", "example", "com", "zor"}
+    flagged = {r.term: r.action for r in pii.disclosing(pii.scan(df))[0].collect()}
+    assert flagged["wu"] == flagged["zorblax"] == "remove"
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(5)
+    names, values = [f"n{chr(97 + i)}" for i in range(24)], [f"v{i}@x.com" for i in range(24)]
+    rows = []
+    for i in range(150):
+        own = rng.sample(names, rng.randint(0, 3))
+        has = [values[names.index(n)] for n in own if rng.random() < 0.8] + ([rng.choice(values)] if rng.random() < 0.05 else [])
+        words = own + [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(1, 9))]
+        rng.shuffle(words)
+        rows += [(i, " ".join(words) + " - " * rng.randint(1, 90) + " ; ".join(has))] * rng.choice((1, 1, 1, 3))
+    texts = set()
+    for t in {t for _, t in rows}:
+        free = re.sub(STATED["email"], " ", t)
+        texts.add((t, frozenset(re.findall("[a-z0-9]+", free)), frozenset(m[0] for m in re.finditer(STATED["email"], t))))
+    want = {}
+    for term in {w for _, ws, _ in texts for w in ws}:
+        n_t = sum(term in ws for _, ws, _ in texts)
+        for e in values:
+            n_e, both = sum(e in es for *_, es in texts), [ws for _, ws, es in texts if term in ws and e in es]
+            if len(set(both)) >= 3 and len(both) / n_t >= 0.5 and math.log2(len(both) / n_t * len(texts) / n_e) >= 3:
+                want[term] = max(want.get(term, 0), len(both) / n_t)
+    got = {r.term: r.action for r in pii.disclosing(pii.scan(spark.createDataFrame(rows, "doc_id long, text string")))[0].collect()}
+    assert want and got == {t: "remove" if p >= 0.9 else "generalise" for t, p in want.items()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplewise.llm.common import materialise, small
@@ -23,10 +23,10 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "term")
 SPAN = "struct<s:int,e:int,t:string>"
-#: Terms: runs of at least 3 letters within REACH characters of a protected value.
-TERM, REACH = r"\p{L}{3,}", 64
-#: Different contexts in which a term must be seen with a value; bits that it must tell of it; how surely it must
-#: give it away to be generalised, and to be removed.
+#: Terms: words of any length, wherever in a text they stand.
+TERM = r"[\p{L}\p{M}\p{N}]+"
+#: Texts of different words in which a term must be seen with a value; bits that it must tell of it; how surely it
+#: must give it away to be generalised, and to be removed.
 SUPPORT, BITS, GENERALISE, REMOVE = 3, 3.0, 0.5, 0.9
 
 
@@ -86,84 +86,110 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _contexts(text: Column, spans: dict[str, Column]) -> Column:
-    """For each base span: a hash of its value, one of its context, and the context's terms."""
+def _outside(text: Column, spans: Column) -> Column:
+    """``text`` without ``spans``."""
 
-    def around(kind: str):
-        def one(x: Column) -> Column:
-            left = F.substr(text, F.greatest(x["s"] - REACH + 1, F.lit(1)), F.least(x["s"], F.lit(REACH)))
-            left = F.when(x["s"] > REACH, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-            right = F.substr(text, x["e"] + 1, F.lit(REACH))
-            right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-            near = F.concat(left, F.lit(" \n "), right)
-            terms = F.array_distinct(F.transform(F.regexp_extract_all(near, F.lit(TERM), F.lit(0)), F.lower))
-            return F.struct(F.xxhash64(F.lit(kind), F.lower(x["t"])).alias("e"), F.xxhash64(F.array_join(terms, " ")).alias("c"), terms.alias("terms"))
+    def step(acc: Column, x: Column) -> Column:
+        free = F.when(x["s"] > acc["at"], F.substr(text, acc["at"] + 1, x["s"] - acc["at"])).otherwise("")
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], free, F.lit(" \n ")).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
-        return one
 
-    return F.concat(*[F.transform(spans[k], around(k)) for k in PATTERNS])
+def _hashed(kind: str):
+    # a function of its own: transform() would take a second parameter for the index
+    return lambda x: F.xxhash64(F.lit(kind), F.lower(x["t"]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table: doc_id, k (md5 of the text), the base spans of each kind, and their contexts."""
+    """A written table: doc_id, uid, k (md5 of the text), the base spans of each kind, hashes of their different values
+    (null without any), and the different words outside them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     found = rows.select("doc_id", "x", *[c.alias(k) for k, c in base_spans(F.col("x")).items()])
     kinds = {k: F.col(k) for k in PATTERNS}
-    near = F.when(reduce(lambda a, b: a | b, [F.size(c) > 0 for c in kinds.values()]), _contexts(F.col("x"), kinds))
-    return materialise(found.select("doc_id", F.md5(F.col("x").cast("binary")).alias("k"), *kinds, near.alias("near")))
+    some = reduce(lambda a, b: a | b, [F.size(c) > 0 for c in kinds.values()])
+    values = F.concat(*[F.transform(c, _hashed(k)) for k, c in kinds.items()])
+    free = F.when(some, _outside(F.col("x"), F.concat(*kinds.values()))).otherwise(F.col("x"))
+    terms = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(free, F.lit(TERM), F.lit(0))), F.lower))
+    named = [F.monotonically_increasing_id().alias("uid"), F.md5(F.col("x").cast("binary")).alias("k")]
+    return materialise(found.select("doc_id", *named, *kinds.values(), F.when(some, F.array_distinct(values)).alias("es"), terms.alias("terms")))
 
 
-def _terms_of(docs: DataFrame, text: str) -> DataFrame:
-    """(k, term): the different terms of each text."""
-    x = F.coalesce(F.col(text), F.lit(""))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0)))
-    return docs.select(F.md5(x.cast("binary")).alias("k"), F.explode(terms).alias("term"))
+def _different(scanned: DataFrame) -> DataFrame:
+    """One row of ``scanned`` for each different text."""
+    again = small(materialise(scanned.groupBy("k").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "first")))
+    copies = small(materialise(scanned.select("k", "uid").join(again, "k").where("uid != first").select("uid")))
+    return scanned.join(copies, "uid", "left_anti")
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame] | None:
+def disclosing(scanned: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """Terms that give a protected value away, (term, action), and where they are, (k, term); None if there are none.
 
-    Counted over all different texts: a term tells log2(p(value | term) / p(value))
-    bits of a value near which it stands, and gives it away with probability
-    p(value | term). It must stand near the value in SUPPORT different contexts,
-    so that copies of one text prove nothing; tell BITS bits; and give it away
-    with a probability of GENERALISE (the term is then replaced by its class) or
-    REMOVE (it is removed).
+    Counted over all different texts, value and term anywhere in them: a term tells
+    log2(p(value | term) / p(value)) bits of a value, and gives it away with
+    probability p(value | term). It must stand with the value in SUPPORT texts of
+    different words, so that copies of one text prove nothing; tell BITS bits; and
+    give it away with a probability of GENERALISE (the term is then replaced by its
+    class) or REMOVE (it is removed).
+
+    n_et, the texts that have both, is at most n_e, n_t and the texts with some
+    value that have the term. Values and terms that can't pass by these bounds are
+    left out before pairs are formed, and no others.
     """
-    seen = scanned.where("near is not null").select("k", F.explode("near").alias("n")).select("k", F.col("n.e").alias("e"), F.col("n.c").alias("c"), F.explode("n.terms").alias("term"))
-    support = seen.select("e", "term", "c").distinct().groupBy("e", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    together = seen.select("e", "term", "k").distinct().groupBy("e", "term").agg(F.count("*").alias("n_et"))
-    # a term is in at least the texts in which it stands near any value: what is too common there need not be counted
-    near = seen.select("term", "k").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = materialise(support.join(together, ["e", "term"]).join(near, "term").where(F.col("n_et") / F.col("n_near") >= GENERALISE).select("e", "term", "n_et"))
-    terms = materialise(pairs.select("term").distinct())
-    if not terms.limit(1).count():
-        return None
-    hits = materialise(_terms_of(docs, text).join(small(terms), "term").select("k", "term").distinct())
-    texts = F.broadcast(scanned.select("k").distinct().agg(F.count("*").alias("n")))
-    values = scanned.where("near is not null").select("k", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    known = pairs.join(hits.groupBy("term").agg(F.count("*").alias("n_t")), "term").join(values, "e").join(texts)
-    sure = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
-    rated = known.select("term", sure.alias("sure"), F.log2(sure * F.col("n") / F.col("n_e")).alias("bits"))
+    texts = _different(scanned)
+    total = texts.count()
+    rare = total / 2**BITS
+    having = texts.where("es is not null")
+    values = small(materialise(having.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e").between(SUPPORT, rare))))
+    # texts of the same words have the same terms: one stands for all that share a value
+    words = F.xxhash64(F.array_join(F.sort_array("terms"), " "))
+    groups = having.select("k", words.alias("c"), F.explode("es").alias("e")).join(values, "e").groupBy("e", "n_e", "c").agg(F.min("k").alias("k"), F.count("*").alias("n"))
+    groups = materialise(groups.select("k", "e", "n_e", "n"))
+    held = small(materialise(groups.groupBy("k").agg(F.max("n_e").alias("most"))))
+    enough = (F.col("n_t") >= SUPPORT) & (F.col("n_t") <= rare) & (F.col("n_t") * GENERALISE <= F.col("n_v"))
+    valued = F.col("es").isNotNull().cast("long")
+    counted = texts.select(valued.alias("v"), F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"), F.sum("v").alias("n_v")).where(enough)
+    terms = small(materialise(counted.select("term", "n_t")))
+    seen = having.join(held, "k").select("k", "most", F.explode("terms").alias("term")).join(terms, "term").where(F.col("n_t") * GENERALISE <= F.col("most"))
+    both = seen.join(small(groups), "k").where(F.col("n_t") * GENERALISE <= F.col("n_e"))
+    pairs = both.groupBy("e", "n_e", "term", "n_t").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    sure = F.col("n_et") / F.col("n_t")
+    rated = pairs.select("term", sure.alias("sure"), F.log2(sure * F.lit(total) / F.col("n_e")).alias("bits"))
     worst = rated.where((F.col("bits") >= BITS) & (F.col("sure") >= GENERALISE)).groupBy("term").agg(F.max("sure").alias("sure"))
     flagged = materialise(worst.select("term", F.when(F.col("sure") >= REMOVE, "remove").otherwise("generalise").alias("action")))
-    return flagged, hits
-
+    if not flagged.limit(1).count():
+        return None
+    return flagged, texts.select("k", F.explode("terms").alias("term"))
 
-def _term_spans(text: Column, terms: Column, taken: list[Column]) -> Column:
-    """Spans of ``terms`` in ``text`` outside the spans that are taken."""
-    own = F.filter(_spans(text, TERM), lambda x: F.array_contains(terms, F.lower(x["t"])))
-    base = F.concat(*taken)
-    return F.filter(own, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
 
+def _placed(docs: DataFrame, found: tuple[DataFrame, DataFrame] | None, text: str) -> DataFrame | None:
+    """(k, placed): the spans (s, e, t, action) of what is flagged in each text that has any; a written table.
 
-def _by_text(found: tuple[DataFrame, DataFrame] | None) -> DataFrame | None:
-    """(k, terms, actions): what is flagged in each text that has any; a written table."""
+    Words are numbered and their lengths summed up by a window, in time linear in a text's words.
+    """
     if found is None:
         return None
     flagged, hits = found
-    own = hits.join(small(flagged), "term").groupBy("k").agg(F.collect_list(F.struct("term", "action")).alias("f"))
-    return materialise(own.select("k", F.col("f.term").alias("terms"), F.map_from_entries("f").alias("actions")))
+    own = small(materialise(hits.join(small(flagged), "term").select("k", "term", "action")))
+    keys = small(materialise(own.select("k").distinct()))
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("x")).withColumn("k", F.md5(F.col("x").cast("binary")))
+    hit = texts.join(keys, "k").select("k", "x", F.monotonically_increasing_id().alias("uid"))
+    pieces, words = F.split("x", TERM, -1), F.regexp_extract_all("x", F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(words)), words, lambda p, m: F.struct((F.length(p) + F.length(m)).alias("n"), m.alias("t")))
+    each = hit.select("k", "uid", F.posexplode(pairs).alias("i", "w")).select("k", "uid", "i", "w.n", "w.t")
+    upto = Window.partitionBy("uid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = each.withColumn("e", F.sum("n").over(upto).cast("int")).withColumn("term", F.lower("t")).join(own, ["k", "term"])
+    span = F.struct((F.col("e") - F.length("t")).alias("s"), "e", "t", "action")
+    # copies of a text give the same spans
+    return materialise(at.groupBy("k").agg(F.array_sort(F.collect_set(span)).alias("placed")))
+
+
+def _free(spans: Column, taken: list[Column]) -> Column:
+    """``spans`` outside those that are taken; none for null."""
+    base = F.concat(*taken)
+    out = F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return F.coalesce(out, F.array().cast("array<struct<s:int,e:int,t:string,action:string>>"))
 
 
 def _named(spans: Column, kind: str) -> Column:
@@ -179,16 +205,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     repeat; an empty table gives none; other columns are not read.
     """
     scanned = scan(docs, id_col, text)
-    by_text = _by_text(disclosing(docs, scanned, text))
-    none = F.array().cast(f"array<{SPAN}>")
-    if by_text is None:
-        return scanned.select("doc_id", *PATTERNS, none.alias("term"))
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("x")).withColumn("k", F.md5(F.col("x").cast("binary")))
-    hit = texts.join(small(by_text), "k").select("k", "x", "terms")
-    # placed where the texts are read, so that spans are shuffled and not texts
-    placed = hit.select("k", _term_spans(F.col("x"), F.col("terms"), list(base_spans(F.col("x")).values())).alias("term"))
-    placed = small(materialise(placed.dropDuplicates(["k"])))
-    return scanned.join(placed, "k", "left").select("doc_id", *PATTERNS, F.coalesce("term", none).alias("term"))
+    placed = _placed(docs, disclosing(scanned), text)
+    if placed is None:
+        return scanned.select("doc_id", *PATTERNS, F.array().cast(f"array<{SPAN}>").alias("term"))
+    terms = _free(F.col("placed"), [F.col(k) for k in PATTERNS])
+    return scanned.join(small(placed), "k", "left").select("doc_id", *PATTERNS, F.transform(terms, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"))).alias("term"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -207,24 +228,25 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     too, stay as they are, and so do all other columns.
     """
     scanned = scan(docs, id_col, text)
-    by_text = _by_text(disclosing(docs, scanned, text))
+    placed = _placed(docs, disclosing(scanned), text)
     cols = docs.columns
     # the row is kept as a struct, so that no column of it meets one of ours
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(text).alias("raw"), F.coalesce(F.col(text), F.lit("")).alias("x_"))
-    if by_text is None:
-        rows = rows.withColumn("terms_", F.lit(None).cast("array<string>")).withColumn("actions_", F.lit(None).cast("map<string,string>"))
+    if placed is None:
+        rows = rows.withColumn("placed_", F.lit(None).cast("array<struct<s:int,e:int,t:string,action:string>>"))
     else:
         keyed = rows.withColumn("k_", F.md5(F.col("x_").cast("binary")))
-        rows = keyed.join(small(by_text.select(F.col("k").alias("k_"), F.col("terms").alias("terms_"), F.col("actions").alias("actions_"))), "k_", "left")
+        rows = keyed.join(small(placed.select(F.col("k").alias("k_"), F.col("placed").alias("placed_"))), "k_", "left")
     base = base_spans(F.col("x_"))
-    rows = rows.select("row", "raw", "x_", "terms_", "actions_", *[c.alias(f"{k}_") for k, c in base.items()])
+    rows = rows.select("row", "raw", "x_", "placed_", *[c.alias(f"{k}_") for k, c in base.items()])
     taken = [F.col(f"{k}_") for k in PATTERNS]
-    terms = F.when(F.col("terms_").isNotNull(), _term_spans(F.col("x_"), F.col("terms_"), taken)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    terms = _free(F.col("placed_"), taken)
+
     def marked(i: int, k: str):
         return lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), x["e"].alias("e"), F.lit(f"<{k.upper()}>").alias("r"))
 
     put = [F.transform(F.col(f"{k}_"), marked(i, k)) for i, k in enumerate(PATTERNS)]
-    put.append(F.transform(terms, lambda x: F.struct(x["s"].alias("s"), F.lit(len(PATTERNS)).alias("i"), x["e"].alias("e"), F.when(F.element_at(F.col("actions_"), F.lower(x["t"])) == "remove", "").otherwise("<TERM>").alias("r"))))
+    put.append(F.transform(terms, lambda x: F.struct(x["s"].alias("s"), F.lit(len(PATTERNS)).alias("i"), x["e"].alias("e"), F.when(x["action"] == "remove", "").otherwise("<TERM>").alias("r"))))
     rows = rows.withColumn("spans_", F.array_sort(F.concat(*put)))
     x = F.col("x_")
 
