@@ -84,3 +84,12 @@ def test_null_empty_long_and_clashing(spark):
     assert bpe.encode(df.limit(0)).count() == 0
     back = bpe.decode(bpe.encode(df, outputs=("ids",))).collect()
     assert {len(r.decoded) for r in back} == {0, got[3][3]}
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_a_long_word_before_a_cut(path):
+    texts = ["漢" * 1500 + f"{i:04d} next words" for i in range(2000)]
+    cut = [t for t in texts if t.index(" ") + 3001 in bpe.cuts(t.encode())][:3]
+    own = bpe.Encoder(path)
+    assert len(cut) == 3 and all(own.encode(t) == want(path, t) for t in cut)
+    own._agree(("é" * 3000 + " ").encode(), b"x")

@@ -170,7 +170,8 @@ class Encoder:
 
     def _agree(self, left: bytes, right: bytes) -> bool:
         """Whether the last word of ``left`` and the first of ``right`` encode together to what they encode to apart."""
-        a = left[len(left.rstrip()) - len(left[-4096:].split()[-1]) :] if left[-4096:].strip() else left
+        last = left.rsplit(None, 1)
+        a = left[len(left.rstrip()) - len(last[-1]) :] if last else left
         b = right[: _WORD.search(right).end()] if right.strip() else right
         try:
             return self.joins[a, b]
