@@ -43,25 +43,34 @@ def unescape(text: str) -> str:
 
 
 class Flatten:
-    """Visits the parts of one turn in order."""
+    """Visits the parts of one turn in order.
+
+    Text parts that follow each other are one run, escaped as a whole, so that no
+    control string comes about where two of them meet.
+    """
 
     def __init__(self, tokens=TOKENS):
         self.tokens, self.out, self.attachments, self.length, self.expanded = tokens, [], [], 0, 0
+        self.run: list[str] = []
 
     def visit(self, part: dict | None) -> None:
         if part is not None:
-            getattr(self, f"visit_{part['kind'] or 'text'}", self.visit_unknown)(part)
+            getattr(self, f"visit_{part['kind'] or 'text'}", self.visit_text)(part)
 
     def _put(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
 
-    def visit_text(self, part: dict) -> None:
-        text = escape(part["text"] or "")
+    def _end_run(self) -> None:
+        text, self.run = "".join(self.run), []
         self.expanded += len(text.split())
-        self._put(text)
+        self._put(escape(text))
+
+    def visit_text(self, part: dict) -> None:
+        self.run.append(part["text"] or "")
 
     def _attach(self, part: dict) -> None:
+        self._end_run()
         kind = part["kind"]
         base, each = self.tokens[kind]
         tokens = base + each * max(0, part["units"] or 0)
@@ -71,8 +80,10 @@ class Flatten:
 
     visit_image = visit_audio = visit_document = _attach
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"a content part has the unknown kind {part['kind']!r}")
+    def content(self) -> str:
+        """The turn's formatted content, once all parts were visited."""
+        self._end_run()
+        return "".join(self.out)
 
 
 def text_part(text: Column) -> Column:
@@ -83,8 +94,8 @@ def text_part(text: Column) -> Column:
 def format_turns(df: DataFrame, role: str = "role", parts: str = "parts", loss_role: str = "assistant") -> DataFrame:
     """``df`` with each turn's formatted segment, its loss span, attachments and expanded token count.
 
-    ``parts`` is an array of (kind, text, ref, units); kind is text (or null),
-    image, audio or document. loss_start and loss_end are code points within the
+    ``parts`` is an array of (kind, text, ref, units); kind is text, image, audio
+    or document; a part of a null or unknown kind counts as its text. loss_start and loss_end are code points within the
     segment, equal for turns of other roles; offsets of attachments count within
     the turn's content. Null parts, texts and roles are empty; repeated rows and
     ties stay as they are, since a row is formatted alone; an empty table gives
@@ -104,8 +115,8 @@ def format_turns(df: DataFrame, role: str = "role", parts: str = "parts", loss_r
                 visitor = Flatten()
                 for part in content or ():
                     visitor.visit(part)
-                head = f"{TURN}{escape(name or '')}{SAYS}"
-                segments.append(f"{head}{''.join(visitor.out)}{END}")
+                head, content = f"{TURN}{escape(name or '')}{SAYS}", visitor.content()
+                segments.append(f"{head}{content}{END}")
                 starts.append(len(head))
                 ends.append(len(head) + visitor.length * (name == loss_role))
                 attached.append(visitor.attachments)
