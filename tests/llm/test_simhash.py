@@ -80,3 +80,30 @@ def test_nulls_empty_long_repeated_and_clashing(spark):
     kept = simhash.one_each(df)
     assert kept.columns == df.columns
     assert sorted((str(r.doc_id), r.text[:5]) for r in kept.collect()) == [("2", "é x"), ("3", "a B\tc"), ("4", "w w w"), ("7", " \n"), ("None", "alone")]
+
+
+def test_texts_that_share_an_id_are_not_lost(spark):
+    same, other = "one two three four five six", "quite another text stands right here now"
+    rows = [(3, same), (5, same), (5, other), (8, same), (None, other + " alone"), (None, other + " alone"), (7, "x y z"), (7, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("again", F.lit("c"))
+    got = sorted((str(r.doc_id), r.text) for r in simhash.one_each(df).collect())
+    assert got == sorted([("3", same), ("5", other), ("None", other + " alone"), ("7", "x y z")])
+    assert simhash.one_each(df.limit(0)).count() == 0
+    # a shared id links nothing
+    marks = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert (5, 3) in marks and (5, 5) in marks
+
+
+def test_one_row_of_each_group_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 30)) for _ in range(12)] + ["", None, "é"]
+    rows = [(None if rng.random() < 0.1 else int(rng.integers(0, 25)), texts[rng.integers(len(texts))]) for _ in range(90)]
+    prints = [(d, plain_fingerprint(t)) for d, t in rows]
+    parent = plain_components([(i, f) for i, (_, f) in enumerate(prints)])
+    want = []
+    for g in set(parent):
+        own = [((d is None, d or 0, f if f < 2**63 else f - 2**64), t) for (d, f), (_, t), p in zip(prints, rows, parent) if p == g]
+        want.append(min(own, key=lambda x: x[0])[0])
+    kept = simhash.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    signed = [(r.doc_id is None, r.doc_id or 0, f if f < 2**63 else f - 2**64) for r in kept for f in [plain_fingerprint(r.text)]]
+    assert sorted(signed) == sorted(want)

@@ -10,10 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 500_000
-#: Rows of text in one Arrow batch, so that a Python worker holds few texts at once.
-TEXT_BATCH = 512
+#: Rows, and bytes of the written files, of a side that may be broadcast; beyond either the same join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8_000_000
+#: Rows and bytes of one Arrow batch, so that a Python worker holds few texts at once.
+TEXT_BATCH, TEXT_BYTES = 512, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Before a Python stage: bound Arrow batches by rows (Spark has no bound in bytes) and let workers find this package.
+    """Before a Python stage: bound Arrow batches by rows and bytes (one row can be larger) and let workers find this package.
 
     Workers look where the driver has it; on a cluster it is installed there or sent with --py-files.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
     root, env = str(Path(__file__).parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
@@ -46,22 +47,39 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and the files outlive executors.
 
-    The files go when the session ends.
+    The files go when the session ends, or earlier by forget().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a materialised ``df`` when it has at most ``rows`` rows; else leave the join to shuffle."""
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at, files = _files(df.sparkSession, folder)
+            if at.getParent().getName() == "tables":
+                files.delete(at, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a materialised ``df`` of at most ``rows`` rows in files of ``size`` bytes; else leave the join to shuffle."""
+    paths = [_files(df.sparkSession, f) for f in df.inputFiles()]
+    if sum(files.getFileStatus(at).getLen() for at, files in paths) > size:
+        return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

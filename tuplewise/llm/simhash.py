@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tuplewise.llm.common import materialise, small, small_batches
+from tuplewise.llm.common import forget, materialise, small, small_batches
 
 BITS, DIFFER, SEGMENTS, WORDS, SEED = 64, 2, 9, 3, 42
 #: Fingerprints in a bucket that are compared with each other; a larger bucket's are linked through midpoints.
 BUCKET = 48
-#: Stand-ins for the ids of fingerprints whose documents all have null ids.
-NO_ID = 2**62
 
 
 def _fingerprint(text: str | None) -> int:
@@ -163,7 +161,9 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             pairs = F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))
             moved = joined.select(F.explode(pairs).alias("e")).select("e.*")
-        return moved.where("a != b").distinct()
+        out = materialise(moved.where("a != b").distinct())
+        forget(least)
+        return out
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 2**31), F.lit(0))).first()[:]
@@ -172,9 +172,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
-        large = materialise(stars(both, True))
-        now = materialise(stars(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False))
-        before, seen = seen, state(now)
+        large = stars(both, True)
+        after = stars(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False)
+        forget(large, now)
+        now, before, seen = after, seen, state(after)
         if before == seen:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -186,45 +187,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Words are runs of other characters than space and tab to carriage return,
     after A-Z are lower-cased; shingles have 3 words, repeats included; fewer
     words give one shingle, none (null or empty text) the fingerprint 0, which
-    links like any other. Every row gives one row, repeated rows too. Rows with a
-    null id are linked through, and get their component's smallest id, null if it
-    has none. Ids are below 2**62. Other columns are not read.
+    links like any other. Every row gives one row, repeated rows too. Rows are
+    linked by their fingerprints alone: rows that repeat an id with other texts are
+    not thereby linked. Rows with a null id get their component's smallest id,
+    null if it has none. Other columns are not read.
     """
+    rows = _rows(docs, id_col, text)
+    named = small(components_of(rows).select("print", F.col("least.doc_id").alias("component_id")))
+    return rows.join(named, "print").select("doc_id", as_hex(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """A written table (doc_id, print)."""
     small_batches(docs.sparkSession)
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text)).alias("print")))
-    return labelled(rows)
+    return materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text)).alias("print")))
 
 
-def labelled(rows: DataFrame) -> DataFrame:
-    """near_duplicates() of a written table (doc_id, print)."""
-    node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.col("print").bitwiseAND(F.lit(NO_ID - 1)))
-    prints = materialise(rows.groupBy("print").agg(node.alias("node")))
-    roots = components(links(prints))
-    named = prints.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
-    named = small(materialise(named.select("print", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))))
-    return rows.join(named, "print").select("doc_id", as_hex(F.col("print")).alias("fingerprint"), "component_id")
+def components_of(rows: DataFrame) -> DataFrame:
+    """A written table (print, least): for each fingerprint of ``rows`` its component's first row.
+
+    ``least`` is a struct (no_id, doc_id, print): the smallest id, rows without one
+    last, then the smallest fingerprint.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    prints = materialise(rows.groupBy("print").agg(F.min(first).alias("own")))
+    roots = components(links(prints.select("print", F.col("print").alias("node"))))
+    grouped = materialise(prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "own", F.coalesce("root", "print").alias("root")))
+    least = materialise(grouped.groupBy("root").agg(F.min("own").alias("least")))
+    out = materialise(grouped.join(small(least), "root").select("print", "least"))
+    forget(grouped, least, prints, roots)
+    return out
 
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id.
+    """The rows of ``docs`` that stay: of each component one with the smallest id, one without an id only if none has any.
 
-    Of rows that repeat that id one stays. A component without any id keeps one row.
+    Rows are told apart by id and fingerprint, so a text is never lost because its
+    id stands at another text too. Of rows that repeat both, the one with the
+    smallest digest of all its columns stays. An empty table stays empty.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text)).alias("print")))
-    marks = materialise(labelled(rows))
-    known = docs.where(F.col(id_col).isNotNull())
-    gone = small(materialise(marks.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()))
-    kept = known.join(gone, id_col, "left_anti").select(docs.columns)
-    again = materialise(marks.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col)))
-    if again.limit(1).count():
-        hinted = small(again)
-        kept = kept.join(hinted, id_col, "left_anti").unionByName(kept.join(hinted, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
-    lone = marks.where("doc_id is null and component_id is null")
-    if lone.limit(1).count():
-        # no id to tell rows by: the smallest text of each fingerprint without ids
-        lost = docs.where(F.col(id_col).isNull()).withColumn("print_", as_hex(fingerprint(F.col(text))))
-        lost = lost.join(lone.select(F.col("fingerprint").alias("print_")).distinct(), "print_", "left_semi")
-        kept = kept.unionByName(lost.dropDuplicates(["print_"]).select(docs.columns))
-    return kept
+    rows = _rows(docs, id_col, text)
+    found = small(components_of(rows))
+    marks = materialise(rows.join(found, "print").select("doc_id", "print", ((F.col("print") == F.col("least.print")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).alias("first")))
+    # most ids are those of one row and need no fingerprint to find it
+    told = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("first").alias("first"))
+    gone = small(materialise(told.where("n > 1 or not first").select(F.col("doc_id").alias("gone"))))
+    own = docs[id_col].cast("long")
+    kept = docs.join(gone, own == gone["gone"], "left_anti").where(own.isNotNull())
+    again = materialise(told.where("n > 1").select(F.col("doc_id").alias("again")))
+    lost = marks.where("doc_id is null").limit(1).count()
+    if not lost and not again.limit(1).count():
+        return kept
+    # the others: rows without an id, or with an id that repeats
+    hinted = small(again)
+    odd = docs.where(own.isNull()).unionByName(docs.join(hinted, own == hinted["again"], "left_semi"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = odd.select(row.alias("row"), F.col(id_col).cast("long").alias("id_"), fingerprint(F.col(text)).alias("print_"), F.md5(F.to_json(row).cast("binary")).alias("mark"))
+    wanted = small(materialise(marks.where("first").select(F.col("doc_id").alias("of"), "print").distinct()))
+    stay = packed.join(wanted, (F.col("print_") == F.col("print")) & F.col("id_").eqNullSafe(F.col("of")), "left_semi")
+    return kept.unionByName(stay.groupBy("id_", "print_").agg(F.min_by("row", "mark").alias("row")).select("row.*"))
