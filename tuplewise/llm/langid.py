@@ -28,7 +28,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
     A bounded sample is fitted: per language the documents of smallest id hash in
     each of SAMPLE_DOCS hash classes, SAMPLE_BYTES of each, DICTIONARY bytes in
-    all. Only the minima of the hashes and the chosen texts reach the driver.
+    all. Only the minima of the hashes and the chosen texts reach the driver; of
+    rows that repeat an id in a language the smallest text counts, once.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0) & F.col(id_col).isNotNull())
     if allowed is not None:
@@ -40,10 +41,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     share: dict[str, int] = {}
     for r in least:
         share[r.lang] = share.get(r.lang, 0) + r.n
-    rows = known.where(mark.isin(sorted({r.h for r in least}))).select(F.col(lang).alias("lang"), mark.alias("h"), F.substring(text, 1, SAMPLE_BYTES).alias("text"))
-    texts: dict[str, set[tuple]] = {}
+    # one text for each language and id, however often a row repeats
+    rows = known.where(mark.isin(sorted({r.h for r in least}))).groupBy(F.col(lang).alias("lang"), mark.alias("h")).agg(F.min(F.substring(text, 1, SAMPLE_BYTES)).alias("text"))
+    texts: dict[str, list[tuple]] = {}
     for r in rows.collect():
-        texts.setdefault(r.lang, set()).add((r.h, plain(r.text)))
+        texts.setdefault(r.lang, []).append((r.h, plain(r.text)))
     return dictionaries({name: [data for _, data in sorted(texts[name])] for name in sorted(texts, key=lambda x: (-share.get(x, 0), x))})
 
 
