@@ -68,20 +68,55 @@ def test_nearest_with_ties_zero_vectors_and_few_rows(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 2, 0.5), (0, 2, 3, 0.5), (0, 3, 1, -1.0)]
 
 
-@pytest.mark.parametrize("kernel", [topk.search, ann.search])
-def test_kernels_against_all_pairs(kernel):
+@pytest.mark.parametrize("module", [topk, ann])
+@pytest.mark.parametrize("known", [False, True])
+def test_kernels_against_all_pairs(module, known):
+    """With and without a kth score that is already known: then only what reaches it must be found."""
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(1500, 8)) * 20)
     q, ids, q_ids = x[:40], np.arange(1500), np.arange(40)
-    a, b, s = (np.array(v) for v in kernel(q_ids, q, ids, x, ids[:100], x[:100], 7))
     full = q @ x.T
     full[q_ids, q_ids] = -np.inf
+    least = np.sort(full, axis=1)[:, -7] if known else np.full(40, -np.inf)
+    a, b, s = (np.array(v) for v in module.search(q_ids, q, least, module.build(ids, x), 7))
     want, names = blocks.best(full, np.broadcast_to(ids, full.shape), 7)
     for i in range(40):
         own = sorted((-v, n) for v, n in zip(s[a == i].tolist(), b[a == i].tolist()))[:7]
-        kept = [(-v, n) for v, n in zip(want[i].tolist(), names[i].tolist())]
-        # what the shared candidates already rule out may be missing, but nothing of the best
-        assert own == kept
+        assert own == [(-v, n) for v, n in zip(want[i].tolist(), names[i].tolist())]
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**40, 2.0**600])
+def test_whole_numbers_of_any_size_go_through_the_tree(scale):
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(size=(700, 5)) * 1000) * scale
+    q, ids, q_ids = x[::70], np.arange(700), np.arange(0, 700, 70)
+    found = module_rows(topk.search(q_ids, q, np.full(len(q), -np.inf), topk.build(ids, x), 6))
+    most = lambda v: max(-(2**63), min(2**63 - 1, v))
+    want = []
+    for i, own in zip(q_ids.tolist(), q):
+        scores = [(most(sum(int(a) * int(b) for a, b in zip(own, v))), -j) for j, v in enumerate(x) if j != i]
+        want += [(i, -j, s) for s, j in sorted(scores, reverse=True)[:6]]
+    assert sorted(found) == sorted(want)
+
+
+def module_rows(found):
+    return [(int(a), int(b), int(s)) for a, b, s in zip(*found)]
+
+
+def test_small_grids_give_the_same(spark, sf, same, monkeypatch):
+    """Many shards, blocks and packed rows, and ids that repeat."""
+    for name, value in (("BLOCK", 4), ("SHARD", 60), ("PACK", 16)):
+        monkeypatch.setattr(blocks, name, value)
+    same(queries.op1_topk(spark, sf), queries.oracle_sql()["op1_topk"])
+    same(queries.op4_ann(spark, sf), queries.oracle_sql()["op4_ann"])
+    rng = np.random.default_rng(8)
+    rows = [(50, [1.0, 1.0])] + [(7, [float(x) for x in rng.integers(-8, 8, 2)]) for _ in range(400)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == brute(rows, 5, 50, integers)
+
+
+def test_vectors_are_sent_in_the_smallest_exact_type():
+    assert [blocks.compact(np.array([x])).dtype.str for x in (3.0, 0.5, 0.1, 40000.0, 1e300, 32768.0 + 2**-30)] == ["<i2", "<f4", "<f8", "<f4", "<f8", "<f8"]
 
 
 def test_a_ball_tree_holds_every_row_within_its_radius():

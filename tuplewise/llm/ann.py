@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,32 +31,33 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(q_ids, q, ids, x, seed_ids, seeds, k):
+def build(ids: np.ndarray, x: np.ndarray) -> dict:
+    """A shard: ids, vectors, and their codes, scales and sums."""
+    codes, scale, ones = quantise(x)
+    return {"ids": ids, "x": blocks.compact(x), "codes": codes, "scale": scale, "ones": ones}
+
+
+def search(q_ids, q, least, shard, k):
     """Every (query, row) pair of a cell, in tiles of int8 products.
 
     With x = s (c + e), every |e| <= 1/2: the product of two vectors differs from
     s s' (c . c') by at most s s' (|c|/2 + |c'|/2 + d/4), |c| being the sum of
     absolute codes. A pair survives if its upper bound reaches the kth best lower
-    bound seen so far; survivors are recomputed in double precision from the
-    original vectors and merged into each query's k best. The lower bounds start
-    from candidates shared by all cells. The products are exact integers: they
-    run as float32 while their sum stays under 2**24, else as float64.
+    bound seen so far, ``least`` at first; survivors are recomputed in double
+    precision from the original vectors, and the k best of a tile are merged into
+    each query's heap. The products are exact integers: they run as float32 while
+    their sum stays under 2**24, else as float64.
     """
+    x, ids, xc, xs, x1 = shard["x"], shard["ids"], shard["codes"], shard["scale"], shard["ones"]
     d = x.shape[1]
     exact = np.float32 if d * 127 * 127 < 2**24 else np.float64
     qc, qs, q1 = quantise(q)
-    xc, xs, x1 = quantise(x)
     found = []
     for a in range(0, len(q), TILE_Q):
         at = slice(a, a + TILE_Q)
         own, own_ids = q[at], q_ids[at]
-        kth = np.full(len(own), -np.inf)
-        if len(seeds) > k:
-            first = own @ seeds.T
-            first[own_ids[:, None] == seed_ids[None, :]] = -np.inf
-            kth = np.partition(first, len(seeds) - k, axis=1)[:, len(seeds) - k]
-            kth -= 1e-9 * (np.abs(kth) + 1e-300)
-        top, top_ids = np.full((len(own), k), -np.inf), np.full((len(own), k), np.iinfo("i8").max)
+        kth = least[at] - 1e-9 * np.where(np.isfinite(least[at]), np.abs(least[at]), 0)
+        heaps: list[list] = [[] for _ in own]
         for b in range(0, len(x), TILE_X):
             to = slice(b, b + TILE_X)
             near = (qc[at].astype(exact) @ xc[to].astype(exact).T).astype(np.float64)
@@ -69,21 +72,21 @@ def search(q_ids, q, ids, x, seed_ids, seeds, k):
             r, c = np.nonzero((near >= kth[:, None]) & (near > -np.inf))
             if not len(r):
                 continue
-            score = np.concatenate([products(own[r[i : i + PAIRS]], x[b + c[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)])
-            # merge: the survivors of each query join its k best
-            rows, first = np.unique(r, return_index=True)
-            r_all = np.concatenate([np.repeat(rows, k), r])
-            s_all = np.concatenate([top[rows].ravel(), score])
-            i_all = np.concatenate([top_ids[rows].ravel(), ids[b + c]])
-            order = np.lexsort((i_all, -s_all, r_all))
-            r_all, s_all, i_all = r_all[order], s_all[order], i_all[order]
-            begins = np.searchsorted(r_all, rows)
-            pick = begins[:, None] + np.arange(k)[None, :]
-            top[rows], top_ids[rows] = s_all[pick], i_all[pick]
-            kth = np.maximum(kth, top[:, -1] - 1e-9 * np.abs(top[:, -1]) if np.isfinite(top[:, -1]).any() else kth)
-        keep = np.isfinite(top)
-        found.append((np.repeat(own_ids, k).reshape(-1, k)[keep], top_ids[keep], top[keep]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
+            score = np.concatenate([products(own[r[i : i + PAIRS]], x[b + c[i : i + PAIRS]].astype(np.float64)) for i in range(0, len(r), PAIRS)])
+            order = np.lexsort((ids[b + c], -score, r))
+            r, score, names = r[order], score[order], ids[b + c[order]]
+            nth = np.arange(len(r)) - np.searchsorted(r, r)
+            for i, s, name in zip(r[nth < k].tolist(), score[nth < k].tolist(), names[nth < k].tolist()):
+                heap = heaps[i]
+                if len(heap) < k:
+                    heapq.heappush(heap, (s, -name))
+                elif (s, -name) > heap[0]:
+                    heapq.heapreplace(heap, (s, -name))
+            for i in np.unique(r).tolist():
+                if len(heaps[i]) == k:
+                    kth[i] = max(kth[i], heaps[i][0][0] - 1e-9 * abs(heaps[i][0][0]))
+        found += [(int(i), -name, s) for i, heap in zip(own_ids, heaps) for s, name in heap]
+    return tuple(zip(*found)) if found else ([], [], [])
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
@@ -99,4 +102,4 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     rows, an empty table none; other columns are ignored.
     """
     rows = blocks.usable(df, id_col, vec_col, nonzero=True)
-    return blocks.block_topk(rows.where(F.col("id") % every == 0), rows, k, search, "double")
+    return blocks.block_topk(rows.where(F.col("id") % every == 0), rows, k, build, search, "double")
