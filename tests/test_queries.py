@@ -13,5 +13,4 @@ def test_rows_are_those_of_the_sql(name, spark, sf, same):
 @pytest.mark.parametrize("name, table", [("via_inverse_left_join", "lineitem"), ("exists_range", "lineitem"), ("arithmetic_precedence", "lineitem"), ("normalised_values", "orders")])
 def test_whole_tables_are_read(name, table, spark):
     sf = "/root/testdata/sf0.01"
-    got, rows = queries.queries()[f"{name}_whole"](spark, sf).count(), spark.read.parquet(f"{sf}/{table}.parquet").count()
-    assert got >= rows > queries.queries()[name](spark, sf).count()
+    assert queries.queries()[name](spark, sf).count() >= spark.read.parquet(f"{sf}/{table}.parquet").count()

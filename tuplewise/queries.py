@@ -22,16 +22,14 @@ DEC = "CAST(CAST(sum(CAST(CAST({} AS VARCHAR) AS DECIMAL(38,10))) AS VARCHAR) AS
 TEXTS: dict[str, tuple[str, dict, str]] = {
     "scan_filter_sort": (O + "retrieve (order_key=o.orderKey, total=o.totalPrice) where o.totalPrice > 400000 and o.status = 'F' sort by o.totalPrice desc", {}, "SELECT o_orderkey AS order_key, o_totalprice AS total FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F'"),
     "via_left_join": (OC + "retrieve (order_key=o.orderKey, customer=c.name, total=o.totalPrice) where o.totalPrice > :min sort by o.totalPrice desc", {"min": 100000}, "SELECT o_orderkey AS order_key, c_name AS customer, o_totalprice AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000"),
-    "via_inverse_left_join": (O + "range of l is LineItem via o.lines retrieve (order_key=o.orderKey, line=l.lineNumber) where o.orderKey < 2000", {}, "SELECT o_orderkey AS order_key, l_linenumber AS line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000"),
-    "via_inverse_left_join_whole": (O + "range of l is LineItem via o.lines retrieve (order_key=o.orderKey, line=l.lineNumber)", {}, "SELECT o_orderkey AS order_key, l_linenumber AS line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"),
+    "via_inverse_left_join": (O + "range of l is LineItem via o.lines retrieve (order_key=o.orderKey, line=l.lineNumber)", {}, "SELECT o_orderkey AS order_key, l_linenumber AS line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"),
     "via_required_inner_join": ("range of n is Nation range of r is Region via n.region retrieve (nation=n.name, region=r.name)", {}, "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "chained_relations": (C + "range of n is Nation via c.nation range of r is Region via n.region retrieve (customer=c.name, region=r.name)", {}, "SELECT c_name AS customer, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "comma_join": ("range of n is Nation " + C + "retrieve (nation=n.name, customer=c.name) where n.nationKey = c.nationKey and c.balance > 5000", {}, "SELECT n_name AS nation, c_name AS customer FROM nation, customer WHERE n_nationkey = c_nationkey AND c_acctbal > 5000"),
     "theta_join": ("range of a is Region range of n is Nation retrieve (region=a.regionKey, nation=n.nationKey) where a.regionKey < n.regionKey", {}, "SELECT r_regionkey AS region, n_nationkey AS nation FROM region, nation WHERE r_regionkey < n_regionkey"),
     "self_join": ("range of a is Nation range of b is Nation retrieve (one=a.name, two=b.name) where a.regionKey = b.regionKey and a.nationKey < b.nationKey", {}, "SELECT a.n_name AS one, b.n_name AS two FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     "many_to_many_bridge": ("range of p is Part range of l is LineItem via p.lines range of s is Supplier via l.supplier retrieve unique (part=p.name, supplier=s.name) where p.size > 45", {}, "SELECT DISTINCT p_name AS part, s_name AS supplier FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE p_size > 45"),
-    "exists_range": (O + "range of l is LineItem via o.lines retrieve (order_key=o.orderKey, line=l.lineNumber) where exists(l) and o.orderKey < 3000", {}, "SELECT o_orderkey AS order_key, l_linenumber AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 3000"),
-    "exists_range_whole": (O + "range of l is LineItem via o.lines retrieve (order_key=o.orderKey, line=l.lineNumber) where exists(l)", {}, "SELECT o_orderkey AS order_key, l_linenumber AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey"),
+    "exists_range": (O + "range of l is LineItem via o.lines retrieve (order_key=o.orderKey, line=l.lineNumber) where exists(l)", {}, "SELECT o_orderkey AS order_key, l_linenumber AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey"),
     "exists_under_or": (C + "range of e is Event via c.events retrieve (cust=c.custKey, event=e.eventId) where exists(e) or c.balance > 9000", {}, "SELECT c_custkey AS cust, event_id AS event FROM customer LEFT JOIN events ON user_id = c_custkey WHERE event_id IS NOT NULL OR c_acctbal > 9000"),
     "any_where": (CO + "retrieve (name=c.name) where ANY(o.orderKey where o.totalPrice > 450000)", {}, "SELECT c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)"),
     "any_under_or": (CO + "retrieve (name=c.name) where ANY(o.orderKey where o.totalPrice > 480000) or c.balance < 0", {}, "SELECT c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 480000) OR c_acctbal < 0"),
@@ -48,8 +46,7 @@ TEXTS: dict[str, tuple[str, dict, str]] = {
     "is_numeric_integer_float": ("range of e is Event retrieve (id=e.eventId, n=is_numeric(e.props.k), i=is_integer(e.props.k), f=is_float(e.props.k), v=is_float(e.value), k=is_integer(e.userId), t=is_numeric(e.type))", {}, "SELECT event_id AS id, true AS n, true AS i, false AS f, true AS v, true AS k, false AS t FROM events"),
     "ifnull_concat": ("range of d is Document range of l is Label via d.label retrieve (doc=d.docId, tag=concat(d.lang, '-', d.source), q=ifnull(l.quality, -1))", {}, "SELECT d.doc_id AS doc, lang || '-' || source AS tag, coalesce(quality, -1) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"),
     "casts": (O + "retrieve (k=o.orderKey, i=(int)o.totalPrice, s=(string)o.orderKey, f=(float)o.orderKey, w=(string)o.orderDate, b=(bool)o.custKey)", {}, "SELECT o_orderkey AS k, CAST(trunc(o_totalprice) AS BIGINT) AS i, CAST(o_orderkey AS VARCHAR) AS s, CAST(o_orderkey AS DOUBLE) AS f, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS w, CAST(o_custkey AS BOOLEAN) AS b FROM orders"),
-    "arithmetic_precedence": (L + "retrieve (k=l.orderKey, n=l.lineNumber, a=l.quantity + 2 * l.lineNumber - 1, b=(l.quantity + 2) * l.lineNumber, c=-l.quantity / 4, z=l.quantity / (l.lineNumber - l.lineNumber)) where l.orderKey < 500", {}, "SELECT l_orderkey AS k, l_linenumber AS n, l_quantity + 2 * l_linenumber - 1 AS a, (l_quantity + 2) * l_linenumber AS b, -l_quantity / 4 AS c, CAST(NULL AS DOUBLE) AS z FROM lineitem WHERE l_orderkey < 500"),
-    "arithmetic_precedence_whole": (L + "retrieve (k=l.orderKey, n=l.lineNumber, a=l.quantity + 2 * l.lineNumber - 1, b=(l.quantity + 2) * l.lineNumber, c=-l.quantity / 4, z=l.quantity / (l.lineNumber - l.lineNumber))", {}, "SELECT l_orderkey AS k, l_linenumber AS n, l_quantity + 2 * l_linenumber - 1 AS a, (l_quantity + 2) * l_linenumber AS b, -l_quantity / 4 AS c, CAST(NULL AS DOUBLE) AS z FROM lineitem"),
+    "arithmetic_precedence": (L + "retrieve (k=l.orderKey, n=l.lineNumber, a=l.quantity + 2 * l.lineNumber - 1, b=(l.quantity + 2) * l.lineNumber, c=-l.quantity / 4, z=l.quantity / (l.lineNumber - l.lineNumber))", {}, "SELECT l_orderkey AS k, l_linenumber AS n, l_quantity + 2 * l_linenumber - 1 AS a, (l_quantity + 2) * l_linenumber AS b, -l_quantity / 4 AS c, CAST(NULL AS DOUBLE) AS z FROM lineitem"),
     "boolean_precedence": (O + "retrieve (k=o.orderKey) where (o.status = 'F' or o.status = 'P') and not (o.totalPrice < 200000 or o.custKey = 7)", {}, "SELECT o_orderkey AS k FROM orders WHERE (o_orderstatus = 'F' OR o_orderstatus = 'P') AND NOT (o_totalprice < 200000 OR o_custkey = 7)"),
     "comparison_operators": ("range of p is Part retrieve (k=p.partKey) where p.size <= 10 and p.size >= 3 and p.size <> 5 and p.size != 6 and p.price < 1500", {}, "SELECT p_partkey AS k FROM part WHERE p_size BETWEEN 3 AND 10 AND p_size NOT IN (5, 6) AND p_retailprice < 1500"),
     "constant_query": ("retrieve (x=1 + 2 * 3, y='a', z=concat('b', \"c\"), t=true, s=date('2 days'))", {}, "SELECT 7 AS x, 'a' AS y, 'bc' AS z, true AS t, CAST(172800 AS BIGINT) AS s"),
@@ -66,6 +63,8 @@ TEXTS: dict[str, tuple[str, dict, str]] = {
     "implicit_group_by": (OC + "retrieve (name=c.name, total=(float)sum((decimal)o.totalPrice), n=count(o.orderKey)) sort by total desc", {}, f"SELECT c_name AS name, {DEC.format('o_totalprice')} AS total, count(o_orderkey) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "group_by_distinct_one_range": (L + "retrieve (flag=l.returnFlag, status=l.lineStatus, parts=countu(l.partKey))", {}, "SELECT l_returnflag AS flag, l_linestatus AS status, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1, 2"),
     "window_total": ("range of p is Part retrieve (k=p.partKey, total=sum(p.size), biggest=max(p.size)) where p.size < 20", {}, "SELECT p_partkey AS k, CAST(sum(p_size) OVER () AS BIGINT) AS total, max(p_size) OVER () AS biggest FROM part WHERE p_size < 20"),
+    "disjoint_aggregate_filtered": ("range of r is Region range of o is Order retrieve (name=r.name, n=count(o.orderKey)) where o.totalPrice > 300000 and r.regionKey > 0", {}, "SELECT r_name AS name, (SELECT count(o_orderkey) FROM orders) AS n FROM region WHERE r_regionkey > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 300000)"),
+    "disjoint_aggregate_none": ("range of r is Region range of o is Order retrieve (name=r.name, n=count(o.orderKey)) where o.totalPrice > 99999999", {}, "SELECT r_name AS name, (SELECT count(o_orderkey) FROM orders) AS n FROM region WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 99999999)"),
     "disjoint_aggregate": ("range of r is Region range of p is Part retrieve (region=r.name, parts=count(p.partKey), size=sum(p.size)) where r.regionKey > 1", {}, "SELECT r_name AS region, (SELECT count(p_partkey) FROM part) AS parts, (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS size FROM region WHERE r_regionkey > 1"),
     "aggregate_arithmetic": (OC + "retrieve (segment=c.segment, mean=(float)sum((decimal)o.totalPrice) / count(o.orderKey), twice=count(o.orderKey) * 2 + 1)", {}, f"SELECT c_mktsegment AS segment, {DEC.format('o_totalprice')} / count(o_orderkey) AS mean, count(o_orderkey) * 2 + 1 AS twice FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "aggregate_only_semi_join": (O + "range of l is LineItem via o.lines retrieve (n=count(o.orderKey))", {}, "SELECT count(o_orderkey) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"),
@@ -194,16 +193,67 @@ def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.deleted(_nations(spark, sf_dir), gone, "id", {"customers": (customers, "nation")})["customers"]
 
 
-def _normalised_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _engine(spark, sf_dir).query("range of o is Order retrieve (id=o.orderKey, status=o.status, secs=o.custKey * 3600)")
     return results.normalise(rows, {"status": "enum:F|O", "secs": "interval"})
 
 
-def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _normalised_whole(spark, sf_dir).where("id < 300")
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find() of parts of a kind by keys of parts of any kind, and of orders that are soft-deleted or not."""
+    e = _engine(spark, sf_dir)
+    parts = [e.found("PromoPart", k).select(F.col("partKey").alias("k"), F.lit("part").alias("what")) for k in range(1, 25)]
+    return merge(*parts, *[e.found("OpenOrder", k).select(F.col("orderKey").alias("k"), F.lit("order").alias("what")) for k in range(1, 9)])
+
+
+def _related_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _engine(spark, sf_dir).related("Customer", "openOrders")
+    return rows.select("custKey", F.coalesce(F.size("openOrders"), F.lit(0)).alias("n"), F.coalesce(F.array_max("openOrders.orderKey"), F.lit(-1)).alias("last"))
+
+
+def _conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nations(spark, sf_dir).withColumn("version", F.col("region")).drop("region")
+    changes = rows.where("id % 2 = 0").select("id", F.lit("changed").alias("name"), F.lit(1).alias("version"))
+    return results.conflicts(rows, changes.unionByName(changes.limit(1).withColumn("id", F.lit(-5))), "id", "version")
+
+
+def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON list that begins after more blanks than any look ahead should be bounded by."""
+    from tuplewise.sources.files import scratch
+
+    folder = scratch(spark)
+    spark.read.option("wholetext", True).text(_notes(spark, sf_dir)).select(F.concat(F.repeat(F.lit(" \n"), 70_000), "value").alias("value")).coalesce(1).write.text(folder)
+    return _engine(spark, sf_dir).query(f"range of j is json_source('{folder}') retrieve (id=j.id, note=j.note)")
+
+
+def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, catalog(spark, sf_dir), now=F.lit("2000-01-31 12:00:00").cast("timestamp_ntz"))
+    return e.query("range of o is Order retrieve (k=o.orderKey) where o.orderDate > date('now') - date('30 days')")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _engine(spark, sf_dir).query("range of o is Order retrieve (status=o.status, priority=o.priority, price=(string) o.totalPrice, key=(string) o.orderKey, day=(string) o.orderDate)")
+    rules = {"status": {"alpha": V.type_is("alpha"), "email": V.email()}, "priority": {"alnum": V.type_is("alnum"), "date": V.date()}, "price": {"int": V.type_is("int"), "numeric": V.type_is("numeric")}, "key": {"digit": V.type_is("digit")}, "day": {"date": V.date()}}
+    return V.violations(rows, rules)
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _engine(spark, sf_dir).query("range of e is Event retrieve (id=e.eventId, props=e.props, value=(string) e.value, day=(string) e.ts, at=(string) e.ts)")
+    made = results.normalise(rows, {"props": "json", "value": "decimal", "day": "date", "at": "datetime"})
+    return made.select("id", F.try_variant_get("props", "$.k", "long").alias("k"), F.col("value").cast("double").alias("value"), "day", "at")
 
 
 CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "find_discriminator": (_found, "SELECT p_partkey AS k, 'part' AS what FROM part WHERE p_partkey BETWEEN 1 AND 24 AND p_type = 'PROMO' UNION ALL SELECT o_orderkey, 'order' FROM orders WHERE o_orderkey BETWEEN 1 AND 8"),
+    "related_soft_delete": (_related_open, "SELECT c_custkey AS \"custKey\", CAST(count(o_orderkey) AS INT) AS n, coalesce(max(o_orderkey), -1) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'F' GROUP BY 1"),
+    "update_conflict": (_conflicts, "SELECT n_nationkey AS id, 'changed' AS name, 1 AS version, n_regionkey AS found FROM nation WHERE n_nationkey % 2 = 0 AND n_regionkey <> 1 UNION ALL SELECT -5, 'changed', 1, NULL"),
+    "json_source_padded": (_padded, f"SELECT id, note FROM {NOTES}"),
+    "date_now": (_now, "SELECT o_orderkey AS k FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01 12:00:00'"),
+    "validation_types": (
+        _typed,
+        "SELECT unnest(['status.alpha', 'status.email', 'priority.alnum', 'priority.date', 'price.int', 'price.numeric', 'key.digit', 'day.date']) AS rule,"
+        " unnest([count(*) FILTER (NOT regexp_full_match(o_orderstatus, '[A-Za-z]+')), count(*), count(*) FILTER (NOT regexp_full_match(o_orderpriority, '[A-Za-z0-9]+')), count(*), count(*), 0, 0, 0]) AS rows FROM orders",
+    ),
+    "normalised_types": (_converted, "SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value, CAST(ts AS DATE) AS day, date_trunc('second', ts) AS at FROM events"),
     "find_by": (lambda s, d: _engine(s, d).find_by("Customer", {"segment": "BUILDING", "nationKey": [1, 2, 3]}, "name desc").select("custKey", "name"), "SELECT c_custkey AS \"custKey\", c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3)"),
     "json_rows": (lambda s, d: results.to_json(_nations(s, d)), "SELECT to_json({'id': n_nationkey, 'name': n_name, 'region': n_regionkey})::VARCHAR AS json FROM nation"),
     "json_api_rows": (lambda s, d: results.to_json_api(_nations(s, d), "nation", "id", "/api", {"region": ("region", "region")}), "SELECT to_json({'type': 'nation', 'id': n_nationkey::VARCHAR, 'attributes': {'name': n_name}, 'relationships': {'region': {'data': {'type': 'region', 'id': n_regionkey::VARCHAR}}}, 'links': {'self': '/api/nation/' || n_nationkey}})::VARCHAR AS json FROM nation"),
@@ -211,8 +261,7 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "inserted_rows": (_inserted, "SELECT n_name AS name, count(*) * 2 AS n, 1 AS version, CAST((SELECT count(*) * 2 FROM nation) AS BIGINT) AS ids, CAST((SELECT count(*) * 2 FROM nation) AS BIGINT) AS last FROM nation GROUP BY 1"),
     "updated_rows": (_updated, "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 AND n_regionkey = 1 THEN 'changed' ELSE n_name END AS name, n_regionkey AS region, CASE WHEN n_nationkey % 2 = 0 AND n_regionkey = 1 THEN 2 ELSE n_regionkey END AS version FROM nation"),
     "deleted_cascade": (_deleted, "SELECT c_custkey AS cust, c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
-    "normalised_values": (_normalised, "WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status, o_custkey * 3600 AS s FROM orders WHERE o_orderkey < 300), p AS (SELECT id, status, s, [(s // 31536000, 'year'), (s % 31536000 // 2592000, 'month'), (s % 31536000 % 2592000 // 604800, 'week'), (s % 31536000 % 2592000 % 604800 // 86400, 'day'), (s % 31536000 % 2592000 % 604800 % 86400 // 3600, 'hour')] AS u FROM t) SELECT id, status, CASE WHEN s = 0 THEN '0 seconds' ELSE array_to_string(list_transform(list_filter(u, lambda x: x[1] > 0), lambda x: x[1] || ' ' || x[2] || CASE WHEN x[1] = 1 THEN '' ELSE 's' END), ' ') END AS secs FROM p"),
-    "normalised_values_whole": (_normalised_whole, "WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status, o_custkey * 3600 AS s FROM orders), p AS (SELECT id, status, s, [(s // 31536000, 'year'), (s % 31536000 // 2592000, 'month'), (s % 31536000 % 2592000 // 604800, 'week'), (s % 31536000 % 2592000 % 604800 // 86400, 'day'), (s % 31536000 % 2592000 % 604800 % 86400 // 3600, 'hour')] AS u FROM t) SELECT id, status, CASE WHEN s = 0 THEN '0 seconds' ELSE array_to_string(list_transform(list_filter(u, lambda x: x[1] > 0), lambda x: x[1] || ' ' || x[2] || CASE WHEN x[1] = 1 THEN '' ELSE 's' END), ' ') END AS secs FROM p"),
+    "normalised_values": (_normalised, "WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status, o_custkey * 3600 AS s FROM orders), p AS (SELECT id, status, s, [(s // 31536000, 'year'), (s % 31536000 // 2592000, 'month'), (s % 31536000 % 2592000 // 604800, 'week'), (s % 31536000 % 2592000 % 604800 // 86400, 'day'), (s % 31536000 % 2592000 % 604800 % 86400 // 3600, 'hour')] AS u FROM t) SELECT id, status, CASE WHEN s = 0 THEN '0 seconds' ELSE array_to_string(list_transform(list_filter(u, lambda x: x[1] > 0), lambda x: x[1] || ' ' || x[2] || CASE WHEN x[1] = 1 THEN '' ELSE 's' END), ' ') END AS secs FROM p"),
     "get_col": (lambda s, d: _engine(s, d).get_col(C + "retrieve (segment=c.segment, name=c.name)"), "SELECT DISTINCT c_mktsegment AS segment FROM customer"),
     "related_collections": (_related, "SELECT c_custkey AS \"custKey\", CAST(count(o_orderkey) AS INT) AS n, coalesce(max(o_orderkey), -1) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "merged_results": (_merged, "SELECT r_name AS name, CAST(NULL AS INT) AS region FROM region UNION ALL SELECT n_name, n_regionkey FROM nation"),
