@@ -136,3 +136,79 @@ def test_inserted_updated_and_deleted_rows(spark, tmp_path):
     assert results.deleted(t, changes, "t_id")[""].count() == 2
     with pytest.raises(QueryError):
         results.insert(t, Entity("V", "v", {}, immutable=True), path)
+
+
+def test_changes_that_conflict(spark):
+    t = spark.createDataFrame([(1, "a", 1), (2, "b", 3)], "id int, name string, version int")
+    twice = spark.createDataFrame([(1, "x", 1), (1, "y", 1)], t.schema)
+    stale = spark.createDataFrame([(1, "x", 1), (2, "y", 1), (9, "z", 1)], t.schema)
+    with pytest.raises(QueryError) as e:
+        results.updated(t, twice, "id", "version")
+    assert e.value.category == "conflict_error"
+    assert sorted((r.id, r.found) for r in results.conflicts(t, stale, "id", "version").collect()) == [(2, 3), (9, None)]
+    with pytest.raises(QueryError):
+        results.updated(t, stale, "id", "version", strict=True)
+    assert sorted(map(tuple, results.updated(t, stale, "id", "version").collect())) == [(1, "x", 2), (2, "b", 3)]
+
+
+def test_keys_of_rows_that_come_in_another_order_each_time(spark, tmp_path):
+    """Numbers are given to staged rows, so a plan that deals rows out at random makes no key twice."""
+    e = Entity("T", "t", {"id": Column("t_id", INT), "name": Column("t_name", STRING)}, "id")
+    rows = spark.range(2000).repartition(7).select(F.col("id").cast("string").alias("name")).orderBy(F.rand())
+    results.insert(rows, e, str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert t.select("t_id").distinct().count() == t.select("t_name").distinct().count() == 2000
+    assert t.agg(F.min("t_id"), F.max("t_id")).first()[:] == (1, 2000)
+
+
+def test_a_cursor_steps_and_seeks(engine):
+    from tuplewise.engine import Cursor
+
+    cursor = Cursor(engine.query("range of n is Nation retrieve (k=n.nationKey) sort by n.nationKey"))
+    assert [cursor.fetch_row().k for _ in range(3)] == [0, 1, 2]
+    cursor.seek(23)
+    assert [cursor.fetch_row().k, cursor.fetch_row().k, cursor.fetch_row()] == [23, 24, None]
+
+
+def test_find_sees_only_rows_of_its_kind(engine, spark, sf):
+    types = {r.p_partkey: r.p_type for r in spark.read.parquet(f"{sf}/part.parquet").limit(40).collect()}
+    other, own = (next(k for k, t in types.items() if (t == "PROMO") == same) for same in (False, True))
+    assert engine.find("PromoPart", other) is None and engine.find("PromoPart", own).type == "PROMO"
+
+
+def test_tables_of_a_database(spark, sf):
+    """Over the database that comes with Spark, in memory."""
+    from tuplewise.catalog import EntityCatalog
+    from tuplewise.sources import tables
+    from tuplewise.tables import entities
+
+    url = "jdbc:derby:memory:t;create=true"
+    known = [t for t in ("region", "nation") if spark.read.parquet(f"{sf}/{t}.parquet").write.jdbc(url, t, mode="overwrite") is None]
+    e = Engine(spark, EntityCatalog(entities(), tables.jdbc(spark, url, split={"nation": ("n_nationkey", 0, 25, 3)})))
+    text = "range of n is Nation range of r is Region via n.region retrieve (n=n.name, r=r.name) where n.nationKey > 4"
+    want = Engine(spark, catalog(spark, sf)).query(text)
+    assert len(known) == 2 and sorted(map(tuple, e.query(text).collect())) == sorted(map(tuple, want.collect()))
+    assert "PushedFilters" in e.explain(text).spark
+
+
+def test_paths_are_followed_where_files_are_read(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"a": [{"id": i, "t": "x" * 100}]} if i else {"b": 1}))
+    rows = json_file.read(spark, f"{tmp_path}/*.json", "$..a").collect()
+    assert sorted(r.id for r in rows) == [1, 2]
+    (tmp_path / "3.json").write_text('{"a": 5}')
+    with pytest.raises(QueryError):
+        json_file.read(spark, f"{tmp_path}/*.json", "$..a").collect()
+
+
+def test_a_list_after_any_number_of_blanks(spark, tmp_path):
+    file = tmp_path / "x.json"
+    file.write_bytes(b"\xef\xbb\xbf" + b" \n" * 100_000 + b'[{"id": 1}]')
+    assert [r.id for r in json_file.read(spark, str(file)).collect()] == [1]
+    assert json_file.read(spark, str(file), schema="id long, more string").first()[:] == (1, None)
+
+
+@pytest.mark.parametrize("text, fits", [("2024-02-29", True), ("2023-02-29", False), ("31.12.2024", True), ("12/31/2024", True), ("2024-01-31T10:20:30Z", True), ("2024-01-31 10:20", True), ("23:59:59.123", True), ("24:00", False), ("on 2024-01-31", False), ("2024", False)])
+def test_dates(spark, text, fits):
+    df = spark.createDataFrame([(text,)], "x string")
+    assert df.select(V.date()(F.col("x")).alias("y")).first().y == fits

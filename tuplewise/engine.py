@@ -60,11 +60,15 @@ class Engine:
         return df.select(F.col(f"`{df.columns[0]}`")).distinct()
 
     def find(self, entity: str, key: object) -> Row | None:
-        """The row with this key, soft-deleted or not."""
+        """The row with this key, soft-deleted or not; of an entity with a discriminator only a row of its kind."""
+        return self.found(entity, key).first()
+
+    def found(self, entity: str, key: object) -> DataFrame:
+        """What find() looks at."""
         e = self.catalog.entity(entity)
         if e.key is None:
             raise QueryError("semantic_error", f"{e.name} has no key")
-        return self._rows(e).where(F.col(e.key) == F.lit(key)).first()
+        return self._rows(e, "@ignoreSoftDelete true ", f" where main.{e.key} = :key", {"key": key})
 
     def find_or_fail(self, entity: str, key: object) -> Row:
         row = self.find(entity, key)
@@ -73,7 +77,8 @@ class Engine:
         return row
 
     def find_by(self, entity: str, conditions: dict[str, object], sort: str = "") -> DataFrame:
-        """Rows whose properties equal the given values (None: is null; a list: any of them), each entity once."""
+        """Rows whose properties equal the given values (None: is null; a list: any of them), each entity once: by its
+        key, or without one by all its columns."""
         e = self.catalog.entity(entity)
         parts, params = [], {}
         for i, (prop, value) in enumerate(conditions.items()):
@@ -86,9 +91,8 @@ class Engine:
             else:
                 parts.append(f"main.{prop} = :p{i}")
                 params[f"p{i}"] = value
-        text = f"range of main is {e.name} retrieve unique (main)" + (f" where {' and '.join(parts)}" if parts else "")
-        out = self.query(text, params)
-        out = out.toDF(*[c.partition(".")[2] or c for c in out.columns])
+        out = self._rows(e, "", f" where {' and '.join(parts)}" if parts else "", params)
+        out = out.dropDuplicates([e.key] if e.key else None)
         orders = [x.split() for x in sort.split(",") if x.strip()]
         return out.orderBy(*[F.col(p[0]).desc() if p[1:] and p[1].lower() == "desc" else F.col(p[0]).asc() for p in orders]) if orders else out
 
@@ -98,7 +102,8 @@ class Engine:
     def related(self, entity: str, relation: str, into: str | None = None) -> DataFrame:
         """Rows of an entity with what a relation leads to: a struct, or for an inverse an array of structs.
 
-        The array holds what one row is related to; it is built by a grouped join.
+        The array holds what one row is related to; it is built by a grouped join. On both sides soft-deleted rows
+        and rows of other kinds are left out.
         """
         e = self.catalog.entity(entity)
         joined = e.join_of(relation, self.catalog)
@@ -111,8 +116,26 @@ class Engine:
             packed = packed.groupBy("__there").agg(F.collect_list(into).alias(into))
         return self._rows(e).join(packed, F.col(here) == F.col("__there"), "inner" if required else "left").drop("__there")
 
-    def _rows(self, e) -> DataFrame:
-        return self.catalog.frame(e).select(*[F.col(f"`{c.physical}`").alias(p) for p, c in e.columns.items()])
+    def _rows(self, e, directives: str = "", where: str = "", params: dict | None = None) -> DataFrame:
+        """An entity's rows, columns by property, as a query sees them."""
+        flat = Engine(self.spark, self.catalog, "flat", self.now)
+        out = flat.query(f"{directives}range of main is {e.name} retrieve (main){where}", params)
+        return out.toDF(*[c.partition(".")[2] or c for c in out.columns])
+
+
+class Cursor:
+    """Steps through a result row by row, one partition at a time on the driver; seek() starts it over at a row."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.seek(0)
+
+    def seek(self, row: int) -> None:
+        self._rows = (self.df.offset(row) if row else self.df).toLocalIterator()
+
+    def fetch_row(self) -> Row | None:
+        """The next row, None after the last."""
+        return next(self._rows, None)
 
 
 def _quoted(text: str) -> str:

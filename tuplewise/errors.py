@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 class QueryError(Exception):
-    """``category``: syntax_error, semantic_error, type_error, json_error, jsonpath_error, resolution_error or stage_error."""
+    """``category``: syntax_error, semantic_error, type_error, json_error, jsonpath_error, resolution_error, conflict_error
+    or stage_error."""
 
     def __init__(self, category: str, message: str):
         super().__init__(f"{category}: {message}")

@@ -402,7 +402,10 @@ class Lowering:
         return self._window(out.orderBy(*self._order(known, named)) if b.sort else out)
 
     def _apart(self, plan: joins.JoinPlan) -> DataFrame:
-        """Aggregates over ranges of their own: one row, computed without the outer where, beside every plain row."""
+        """Aggregates over ranges of their own: one row, computed without the outer where, beside every plain row.
+
+        Terms of where over those ranges ask whether such a row exists: if none does, there are no plain rows either.
+        """
         b = self.b
         own = list(dict.fromkeys(a for i in b.items for a in aggregates.aggregates(i.expr)))
         names = aggregates.family(b, set().union(*(A.ranges_in(a) for a in own)))
@@ -411,8 +414,12 @@ class Lowering:
         inner = self._filtered(inner, [], side, {})
         tell = self.scalar()
         one = inner.agg(*[tell.lower(a).alias(f"__agg{i}") for i, a in enumerate(own)])
-        rest = joins.JoinPlan(plan_rest, {n: plan.how[n] for n in plan_rest}, plan.on, [t for t in plan.where if not A.ranges_in(t) & names], plan.flagged - names)
+        asked = [t for t in plan.where if A.ranges_in(t) & names and not joins.is_any(t.operand if isinstance(t, A.Not) else t)]
+        rest = joins.JoinPlan(plan_rest, {n: plan.how[n] for n in plan_rest}, plan.on, [t for t in plan.where if t not in asked], plan.flagged - names)
         rows = self._joined(rest)
+        if asked:
+            there = self._filtered(self._joined(joins.JoinPlan(side, {n: plan.how[n] for n in side}, flagged=plan.flagged & names)), asked, side, {})
+            rows = rows.join(F.broadcast(there.limit(1).select(F.lit(True).alias("__there"))), F.lit(True), "left_semi")
         rows, known = self._existence(rows, rest)
         rows = self._filtered(rows, rest.where, plan_rest, known)
         self.notes.append("SUBQUERY")

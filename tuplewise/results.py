@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuplewise.catalog import DATETIME, INT, STRING, Entity
-from tuplewise.errors import semantic
+from tuplewise.errors import QueryError, semantic
 from tuplewise.functions import dates
+from tuplewise.sources import files
 
 
 def to_json(df: DataFrame, groups: dict[str, set[str]] | None = None, only: set[str] | None = None) -> DataFrame:
@@ -76,41 +77,69 @@ def insert(rows: DataFrame, entity: Entity, path: str, keys: str = "identity", v
     """Append ``rows`` (columns by property) to the entity's Parquet folder.
 
     ``keys``: identity and sequence count on from the largest key there; uuid makes
-    text keys. The version column starts at 1, or now. Counting numbers rows by
-    partition: each partition gets a block of the numbers, nothing meets in one task.
+    text keys. The version column starts at 1, or now. To be counted, rows are first
+    written to the shared folder with their partition and place in it, so that the
+    numbers don't depend on how they are computed again; each partition then gets a
+    block of the numbers, nothing meets in one task.
     """
     if entity.immutable:
         raise semantic(f"{entity.name} is immutable")
-    spark = rows.sparkSession
+    staged = None
     if entity.key and entity.key not in rows.columns:
         if keys == "uuid":
             rows = rows.withColumn(entity.key, F.expr("uuid()"))
         else:
-            try:
-                last = spark.read.parquet(path).agg(F.max(entity.columns[entity.key].physical)).first()[0] or 0
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-                last = 0
-            numbered = rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-            before, offsets = 0, []
-            for r in sorted(numbered.groupBy("__p").agg(F.count("*").alias("n")).collect()):
-                offsets.append((r["__p"], before))
-                before += r["n"]
-            if offsets:
-                blocks = F.broadcast(spark.createDataFrame(offsets, "__p int, __o long"))
-                rows = numbered.join(blocks, "__p").withColumn(entity.key, F.col("__i") + F.col("__o") + last + 1).drop("__p", "__i", "__o")
-            else:
-                rows = numbered.withColumn(entity.key, F.lit(None).cast("long")).drop("__p", "__i")
+            rows, staged = _numbered(rows, entity, path)
     if version and version not in rows.columns:
         kind = entity.columns[version].kind
         first = {INT: F.lit(1), DATETIME: F.current_timestamp().cast("timestamp_ntz")}.get(kind, F.expr("uuid()"))
         rows = rows.withColumn(version, first)
     rows.select(*[F.col(p).alias(entity.columns[p].physical) for p in rows.columns if p in entity.columns]).write.mode("append").parquet(path)
+    if staged:
+        files.remove(rows.sparkSession, staged)
 
 
-def updated(table: DataFrame, changes: DataFrame, key: str, version: str | None = None) -> DataFrame:
-    """``table`` with the changed columns of ``changes`` (by key); with a version only where it still is what ``changes`` has."""
+def _numbered(rows: DataFrame, entity: Entity, path: str) -> tuple[DataFrame, str]:
+    """``rows`` with keys that count on from those at ``path``, and the folder where they are staged."""
+    spark = rows.sparkSession
+    try:
+        last = spark.read.parquet(path).agg(F.max(entity.columns[entity.key].physical)).first()[0] or 0
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        last = 0
+    staged = files.scratch(spark)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", place).write.parquet(staged)
+    numbered = spark.read.parquet(staged)
+    before, offsets = 0, []
+    for r in sorted(numbered.groupBy("__p").agg(F.count("*").alias("n")).collect()):
+        offsets.append((r["__p"], before))
+        before += r["n"]
+    if not offsets:
+        return numbered.withColumn(entity.key, F.lit(None).cast("long")).drop("__p", "__i"), staged
+    blocks = F.broadcast(spark.createDataFrame(offsets, "__p int, __o long"))
+    made = numbered.join(blocks, "__p").withColumn(entity.key, F.col("__i") + F.col("__o") + last + 1)
+    return made.drop("__p", "__i", "__o"), staged
+
+
+def conflicts(table: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
+    """The changes whose row is gone or has another version by now, with the version there is (``found``)."""
+    now = table.select(F.col(key).alias("__key"), F.col(version).alias("found"))
+    joined = changes.join(now, F.col(key) == F.col("__key"), "left").drop("__key")
+    return joined.where(~F.coalesce(F.col("found") == F.col(version), F.lit(False)))
+
+
+def updated(table: DataFrame, changes: DataFrame, key: str, version: str | None = None, strict: bool = False) -> DataFrame:
+    """``table`` with the changed columns of ``changes`` (by key); with a version only where it still is what ``changes`` has.
+
+    A key that ``changes`` repeats is refused, and, if ``strict``, so are changes that conflicts() finds; without it
+    such changes are left out.
+    """
+    if changes.groupBy(key).count().where("count > 1").limit(1).count():
+        raise QueryError("conflict_error", f"changes repeat a value of {key}")
+    if strict and version and conflicts(table, changes, key, version).limit(1).count():
+        raise QueryError("conflict_error", f"a row was changed since its {version} was read")
     set_ = [c for c in changes.columns if c not in (key, version)]
     new = changes.select(F.col(key), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in changes.columns if c != key])
     joined = table.join(new, key, "left")

@@ -5,62 +5,79 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuplewise.errors import QueryError
+from tuplewise.sources import files
 
-#: Characters of a file that a path with filters or descents may be evaluated over; such paths run on the driver.
-DRIVER_LIMIT = 64_000_000
 _STEP = re.compile(r"""\.\.(?P<deep>\w+|\*)|\.(?P<name>\w+|\*)|\[(?P<index>-?\d+|\*)\]|\[(?P<quote>['"])(?P<key>.+?)(?P=quote)\]|\[\?\(\s*@\.(?P<left>[\w.]+)\s*(?:(?P<op>==|!=|<=|>=|<|>)\s*(?P<right>'[^']*'|"[^"]*"|-?\d+(?:\.\d+)?|true|false|null))?\s*\)\]""")
 
 
-def read(spark: SparkSession, file: str, path: str | None = None) -> DataFrame:
-    """The objects of the list in ``file``, or of the first match of ``path``; no match gives no rows."""
+def read(spark: SparkSession, file: str, path: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """The objects of the list in ``file``, or of the first match of ``path``; no match gives no rows.
+
+    A ``schema`` saves the pass that finds one. With a path each file is one row of
+    text, so Spark's bound for a text holds; such a path is followed where the file
+    is read, and nothing of it reaches the driver.
+    """
     try:
-        whole = spark.read.option("wholetext", True).text(file)
-        heads = [r[0] for r in whole.select(F.substring(F.ltrim(F.regexp_replace(F.substring("value", 1, 4096), r"^[\s﻿]+", "")), 1, 1)).collect()]
-    except PySparkException as e:
+        if path is not None:
+            return _at(spark, spark.read.option("wholetext", True).text(file), file, path, schema)
+        signs = files.first_signs(spark, file)
+        if not signs:
+            raise QueryError("json_error", f"{file} can't be read")
+    except (PySparkException, Py4JJavaError) as e:
         raise QueryError("json_error", f"{file} can't be read") from e
-    if path is not None:
-        return _at(spark, whole, file, path)
-    if not heads or any(h != "[" for h in heads):
-        _broken(spark, whole, file)
+    if any(sign != "[" for sign in signs):
+        _broken(spark.read.option("wholetext", True).text(file), file)
         raise QueryError("json_error", f"{file} is not an array of rows")
     try:
-        return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(file)
+        reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+        return (reader.schema(schema) if schema else reader).json(file)
     except PySparkException as e:
         raise QueryError("json_error", f"{file} is not valid JSON") from e
 
 
-def _broken(spark: SparkSession, whole: DataFrame, file: str) -> None:
+def _broken(whole: DataFrame, file: str) -> None:
     if whole.where(F.expr("try_parse_json(value)").isNull()).limit(1).count():
         raise QueryError("json_error", f"{file} is not valid JSON")
 
 
-def _at(spark: SparkSession, whole: DataFrame, file: str, path: str) -> DataFrame:
+def _at(spark: SparkSession, whole: DataFrame, file: str, path: str, schema: T.StructType | str | None) -> DataFrame:
     steps = parse_path(path)
-    _broken(spark, whole, file)
-    simple = all(kind in ("name", "index") and v != "*" for kind, v in steps)
-    if simple:
+    _broken(whole, file)
+    if all(kind in ("name", "index") and v != "*" for kind, v in steps):
         native = "$" + "".join(f"['{v}']" if kind == "name" else f"[{v}]" for kind, v in steps)
         found = whole.select(F.get_json_object("value", native).alias("v")).where("v is not null")
-        if found.where(~F.ltrim("v").startswith("[")).limit(1).count():
-            raise QueryError("jsonpath_error", f"{path} in {file} leads to no array of rows")
-        rows = found.select(F.explode(F.from_json("v", "array<string>")).alias("v"))
+        lists = found.select(F.when(F.ltrim("v").startswith("["), F.from_json("v", "array<string>")).alias("items"))
     else:
-        if whole.where(F.length("value") > DRIVER_LIMIT).limit(1).count():
-            raise QueryError("jsonpath_error", f"{path} is only evaluated over files of up to {DRIVER_LIMIT} characters")
-        matches = [m for r in whole.collect() for m in follow(json.loads(r.value), steps)[:1]]
-        if any(not isinstance(m, list) for m in matches):
-            raise QueryError("jsonpath_error", f"{path} in {file} leads to no array of rows")
-        rows = spark.createDataFrame([(json.dumps(x),) for m in matches for x in m], T.StructType([T.StructField("v", T.StringType())]))
-    if rows.where(~F.ltrim("v").startswith("{")).limit(1).count():
+        lists = _followed(spark, whole, steps)
+    if lists.where("items is null").limit(1).count():
+        raise QueryError("jsonpath_error", f"{path} in {file} leads to no array of rows")
+    rows = lists.select(F.explode("items").alias("v"))
+    if rows.where(~F.coalesce(F.ltrim("v").startswith("{"), F.lit(False))).limit(1).count():
         raise QueryError("jsonpath_error", f"{path} in {file} leads to no array of rows")
     texts = getattr(rows._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-    return DataFrame(spark.read._jreader.json(texts), spark)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return DataFrame(reader._jreader.json(texts), spark)
+
+
+def _followed(spark: SparkSession, whole: DataFrame, steps: list[tuple[str, object]]) -> DataFrame:
+    """(items): the first match of a path in each file as an array of JSON texts, null if it is no list."""
+    files.in_workers(spark)
+
+    def run(batches):
+        for batch in batches:
+            found = [m for x in batch.column(0) for m in follow(json.loads(x.as_py()), steps)[:1]]
+            items = [[json.dumps(x) for x in m] if isinstance(m, list) else None for m in found]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], ["items"])
+
+    return whole.mapInArrow(run, "items array<string>")
 
 
 def parse_path(path: str) -> list[tuple[str, object]]:

@@ -23,7 +23,7 @@ def entities() -> list[Entity]:
     return [
         Entity("Region", "region", _columns("regionKey=r_regionkey:i name=r_name:s", "regionKey"), "regionKey", inverses={"nations": Inverse("Nation", "region")}),
         Entity("Nation", "nation", _columns("nationKey=n_nationkey:i name=n_name:s regionKey=n_regionkey:i", "nationKey"), "nationKey", {"region": Relation("Region", "regionKey", required=True)}, {"customers": Inverse("Customer", "nation"), "suppliers": Inverse("Supplier", "nation")}),
-        Entity("Customer", "customer", _columns("custKey=c_custkey:i name=c_name:s nationKey=c_nationkey:i balance=c_acctbal:f segment=c_mktsegment:s", "custKey"), "custKey", {"nation": Relation("Nation", "nationKey")}, {"orders": Inverse("Order", "customer"), "events": Inverse("Event", "user")}),
+        Entity("Customer", "customer", _columns("custKey=c_custkey:i name=c_name:s nationKey=c_nationkey:i balance=c_acctbal:f segment=c_mktsegment:s", "custKey"), "custKey", {"nation": Relation("Nation", "nationKey")}, {"orders": Inverse("Order", "customer"), "openOrders": Inverse("OpenOrder", "customer"), "events": Inverse("Event", "user")}),
         Entity("Supplier", "supplier", _columns("suppKey=s_suppkey:i name=s_name:s nationKey=s_nationkey:i balance=s_acctbal:f", "suppKey"), "suppKey", {"nation": Relation("Nation", "nationKey")}, {"lines": Inverse("LineItem", "supplier")}),
         Entity("Part", "part", _columns("partKey=p_partkey:i name=p_name:s brand=p_brand:s type=p_type:s size=p_size:i price=p_retailprice:f", "partKey"), "partKey", inverses={"lines": Inverse("LineItem", "part")}),
         Entity("Order", "orders", _columns("orderKey=o_orderkey:i custKey=o_custkey:i status=o_orderstatus:s totalPrice=o_totalprice:f orderDate=o_orderdate:t priority=o_orderpriority:s", "orderKey"), "orderKey", {"customer": Relation("Customer", "custKey")}, {"lines": Inverse("LineItem", "order")}),
