@@ -1,9 +1,12 @@
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 
-from hypothesis import given, settings
+import regex
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -72,6 +75,71 @@ def test_long_runs_take_linear_time(spark):
     assert got[1].email == 1 and got[0].email == 0 and got[2].card == 0
 
 
+def timed(df, *columns):
+    began = time.time()
+    df.select(*columns).write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_many_matches_and_terms_take_linear_time(spark):
+    """32,000 addresses and 80,000 words in one text: placed, cut out and replaced in seconds, four times a quarter of it."""
+    mark = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("<E>").alias("r")))
+    x = F.col("x")
+    flags = F.array(*[F.struct(F.lit(f"word{i}").alias("term"), F.lit("remove").alias("action")) for i in range(0, 997, 3)])
+    for make, columns in (
+        (lambda n: " ".join(f"u{i}@mail.example.com" for i in range(n * 8)), [pii.replaced(x, mark(pii.base_spans(x)["email"]))]),
+        (lambda n: " ".join(f"word{i % 997}" for i in range(n * 20)), [pii._term_spans(x, flags), pii._free(pii._term_spans(x, flags), list(pii.base_spans(x).values()))]),
+    ):
+        small, large = (spark.createDataFrame([(make(n),)], "x string").cache() for n in (1000, 4000))
+        timed(small, *columns)
+        one, four = min(timed(small, *columns) for _ in range(2)), min(timed(large, *columns) for _ in range(2))
+        assert four < 12 and four < 9 * one + 1
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(0, 1000), max_size=9000))
+def test_running_sums(spark, numbers):
+    row = spark.createDataFrame([(numbers,)], "a array<int>").select(pii.running(F.col("a")).alias("sum"), pii.running(F.col("a"), pii._later).alias("max")).first()
+    assert row.sum == list(itertools.accumulate(numbers)) and row.max == list(itertools.accumulate(numbers, max))
+
+
+def test_running_sums_of_many_groups(spark):
+    for n in (0, 1, 64, 65, 4096, 4097, 70_001):
+        row = spark.createDataFrame([([i % 7 for i in range(n)],)], "a array<int>").select(pii.running(F.col("a")).alias("sum")).first()
+        assert row.sum == list(itertools.accumulate(i % 7 for i in range(n)))
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.text("ab é😀\n", max_size=3000), st.lists(st.tuples(st.integers(0, 3000), st.integers(1, 2500)), max_size=8)), min_size=1, max_size=6))
+def test_spans_are_replaced_as_one_by_one(spark, rows):
+    made = []
+    for text, spans in rows:
+        made.append((text, sorted((min(s, len(text)), min(s + n, len(text)), f"<{i}>") for i, (s, n) in enumerate(spans))))
+    df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(made)], "i int, x string, p array<struct<s:int,e:int,r:string>>")
+    for r in df.select("i", pii.replaced(F.col("x"), F.col("p")).alias("y")).collect():
+        text, spans = made[r.i]
+        at, want = 0, ""
+        for s, e, put in spans:
+            if s >= at:
+                want += text[at:s] + put
+            at = max(at, e)
+        assert r.y == want + text[at:]
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["anna", "Anna", "bo", "é", "x1", " ", ".", "@", "a@b.com", "1.2.3.4", "anna@c.de", "😀", "\n"]), max_size=40).map("".join), min_size=4, max_size=10))
+def test_term_spans_against_brute_force(spark, texts):
+    flags = {"anna": "remove", "bo": "generalise", "é": "remove", "b": "remove"}
+    made = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(a).alias("action")) for t, a in flags.items()])
+    x = F.col("x")
+    free = pii._free(pii._term_spans(x, made), list(pii.base_spans(x).values()))
+    for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", free.alias("t")).collect():
+        text = texts[r.i]
+        base = [(s, e) for found in brute(text).values() for s, e, _ in found]
+        words = [(m.start(), m.end(), m[0], flags[m[0].lower()]) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", text) if m[0].lower() in flags]
+        assert [tuple(t) for t in r.t] == [w for w in words if not any(s < w[1] and w[0] < e for s, e in base)]
+
+
 def docs_with_alias(spark):
     rows = [(i, f"Filler text number {chr(97 + i)}{chr(98 + i)}q was written. Ask Zorblax about {'abcd'[i]}{'wxyz'[i]}thing at zor@mail.example.com today") for i in range(4)]
     rows += [(10 + i, f"The filler text about today was written by nobody {i}") for i in range(40)]

@@ -7,9 +7,10 @@ the positions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuplewise.llm.common import materialise, small
@@ -28,21 +29,93 @@ TERM = r"[\p{L}\p{M}\p{N}]+"
 #: Texts of different words in which a term must be seen with a value; bits that it must tell of it; how surely it
 #: must give it away to be generalised, and to be removed.
 SUPPORT, BITS, GENERALISE, REMOVE = 3, 3.0, 0.5, 0.9
+#: Items that are summed up together, code points of a block that texts are cut from, lists that flagged terms are dealt to.
+GROUP, BLOCK, SLOTS = 64, 1024, 64
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
+def _sums(items: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """The running results of ``add`` over an array, each with its own item; arrays of the accumulator grow, so this is for few items."""
+
+    def step(acc: Column, x: Column) -> Column:
+        own = add(acc["at"], x)
+        return F.struct(own.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    return F.aggregate(items, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
+def _plus(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def _later(a: Column, x: Column) -> Column:
+    return F.greatest(a, x)
+
+
+def running(items: Column, add: Callable[[Column, Column], Column] = _plus, levels: int = 3) -> Column:
+    """Running sums (or other associative results with the zero 0) of an array of integers, in time linear in its length.
+
+    Groups of GROUP items are summed on their own, then their totals in the same
+    way, and each group is raised by what comes before it.
+    """
+    if levels == 1:
+        return _sums(items, F.lit(0), add)
+
+    def within(groups: Column) -> Column:
+        totals = F.transform(groups, lambda g: F.element_at(g, -1))
+        return _let(running(totals, add, levels - 1), lambda upto: F.flatten(F.transform(groups, lambda g, i: F.when(i == 0, g).otherwise(F.transform(g, lambda x: add(F.get(upto, i - 1), x))))))
+
+    def cut(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), ((F.size(own) - 1) / GROUP).cast("int"))
+        return _let(F.transform(starts, lambda g: _sums(F.slice(own, g * GROUP + 1, GROUP), F.lit(0), add)), within)
+
+    return _let(items, lambda own: F.when(F.size(own) > GROUP, cut(own)).otherwise(_sums(own, F.lit(0), add)))
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """(s, e, t) of the matches, in code points, e exclusive."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    """(s, e, t) of the matches, in code points, e exclusive; in time linear in the text."""
     none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("s"), end.alias("e"), x["m"].alias("t")))).alias("out"))
+    def place(found: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(pieces, found, lambda p, m: F.length(p) + F.length(m)))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("t")))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(none))
+
+
+def replaced(text: Column, puts: Column) -> Column:
+    """``text`` with spans replaced: ``puts`` are (s, e, r) in order of s; one that begins within others adds no r.
+
+    What lies between spans is cut from blocks of BLOCK code points, so the time is
+    linear in the text and in the number of spans.
+    """
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(none)
+    def build(blocks: Column, spans: Column, reach: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            i, j = (a / BLOCK).cast("int"), (b / BLOCK).cast("int")
+            first, last = F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, j), F.lit(""))
+            whole = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+            apart = F.concat(F.substr(first, a % BLOCK + 1, F.lit(BLOCK)), whole, F.substr(last, F.lit(1), b % BLOCK))
+            return F.when(i == j, F.substr(first, a % BLOCK + 1, b - a)).otherwise(apart)
+
+        def one(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+            return F.when(x["s"] >= before, F.concat(between(before, x["s"]), x["r"])).otherwise("")
+
+        tail = between(F.element_at(reach, -1), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, one), ""), tail)
+
+    def bind(spans: Column) -> Column:
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+        reach = running(F.transform(spans, lambda x: x["e"]), _later)
+        return F.when(F.size(spans) > 0, _let(blocks, lambda own: _let(reach, lambda upto: build(own, spans, upto)))).otherwise(text)
+
+    return _let(puts, bind)
 
 
 def _digits(t: Column) -> Column:
@@ -88,13 +161,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def _outside(text: Column, spans: Column) -> Column:
     """``text`` without ``spans``."""
-
-    def step(acc: Column, x: Column) -> Column:
-        free = F.when(x["s"] > acc["at"], F.substr(text, acc["at"] + 1, x["s"] - acc["at"])).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], free, F.lit(" \n ")).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return replaced(text, F.transform(F.array_sort(spans), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(" \n ").alias("r"))))
 
 
 def _hashed(kind: str):
@@ -163,33 +230,67 @@ def disclosing(scanned: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     return flagged, texts.select("k", F.explode("terms").alias("term"))
 
 
+def _term_spans(text: Column, flags: Column) -> Column:
+    """(s, e, t, action) of the words of ``text`` that are among ``flags`` (term, action).
+
+    Flags are dealt to SLOTS lists by a hash, so that a word is compared with few of them.
+    """
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int")
+
+    def match(words: Column, ends: Column, slots: Column) -> Column:
+        def one(m: Column, e: Column) -> Column:
+            own = F.lower(m)
+            hit = F.get(F.filter(F.get(slots, slot(own)), lambda f: f["term"] == own), 0)
+            return F.when(hit.isNotNull(), F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("t"), hit["action"].alias("action")))
+
+        return F.filter(F.zip_with(words, ends, one), lambda x: x.isNotNull())
+
+    def place(words: Column) -> Column:
+        pieces = F.slice(F.split(text, TERM, -1), F.lit(1), F.size(words))
+        ends = running(F.zip_with(pieces, words, lambda p, m: F.length(p) + F.length(m)))
+        slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.filter(flags, lambda f: slot(f["term"]) == i))
+        return _let(ends, lambda e: _let(slots, lambda own: match(words, e, own)))
+
+    return _let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), place)
+
+
 def _placed(docs: DataFrame, found: tuple[DataFrame, DataFrame] | None, text: str) -> DataFrame | None:
     """(k, placed): the spans (s, e, t, action) of what is flagged in each text that has any; a written table.
 
-    Words are numbered and their lengths summed up by a window, in time linear in a text's words.
+    Words are placed within a row, in time linear in a text's words: no row is made for a word.
     """
     if found is None:
         return None
     flagged, hits = found
-    own = small(materialise(hits.join(small(flagged), "term").select("k", "term", "action")))
-    keys = small(materialise(own.select("k").distinct()))
+    own = hits.join(small(flagged), "term").groupBy("k").agg(F.collect_set(F.struct("term", "action")).alias("flags"))
+    own = materialise(own)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("x")).withColumn("k", F.md5(F.col("x").cast("binary")))
-    hit = texts.join(keys, "k").select("k", "x", F.monotonically_increasing_id().alias("uid"))
-    pieces, words = F.split("x", TERM, -1), F.regexp_extract_all("x", F.lit(TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(words)), words, lambda p, m: F.struct((F.length(p) + F.length(m)).alias("n"), m.alias("t")))
-    each = hit.select("k", "uid", F.posexplode(pairs).alias("i", "w")).select("k", "uid", "i", "w.n", "w.t")
-    upto = Window.partitionBy("uid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = each.withColumn("e", F.sum("n").over(upto).cast("int")).withColumn("term", F.lower("t")).join(own, ["k", "term"])
-    span = F.struct((F.col("e") - F.length("t")).alias("s"), "e", "t", "action")
+    at = texts.join(small(own), "k").select("k", _term_spans(F.col("x"), F.col("flags")).alias("placed"))
     # copies of a text give the same spans
-    return materialise(at.groupBy("k").agg(F.array_sort(F.collect_set(span)).alias("placed")))
+    return materialise(at.groupBy("k").agg(F.first("placed").alias("placed")))
 
 
 def _free(spans: Column, taken: list[Column]) -> Column:
-    """``spans`` outside those that are taken; none for null."""
-    base = F.concat(*taken)
-    out = F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return F.coalesce(out, F.array().cast("array<struct<s:int,e:int,t:string,action:string>>"))
+    """``spans`` outside those that are taken; none for null. Both are sorted together, and each is held against
+    the furthest end before it and the nearest start after it."""
+    kind = "array<struct<s:int,e:int,t:string,action:string>>"
+    end = F.lit(2**31 - 1)
+
+    def clear(marks: Column) -> Column:
+        ends = running(F.transform(marks, lambda m: F.when(m["action"].isNull(), m["e"]).otherwise(0)), _later)
+        starts = running(F.reverse(F.transform(marks, lambda m: F.when(m["action"].isNull(), end - m["s"]).otherwise(0))), _later)
+
+        def one(e: Column, n: Column) -> Column:
+            def fits(m: Column, i: Column) -> Column:
+                return F.when(m["action"].isNotNull() & (F.get(e, i) <= m["s"]) & (end - F.get(n, i) >= m["e"]), m)
+
+            return F.filter(F.transform(marks, fits), lambda m: m.isNotNull())
+
+        return _let(ends, lambda e: _let(F.reverse(starts), lambda n: one(e, n)))
+
+    base = F.transform(F.concat(*taken), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["t"].alias("t"), F.lit(None).cast("string").alias("action")))
+    marks = F.array_sort(F.concat(base.cast(kind), spans.cast(kind)))
+    return F.when(F.size(spans) > 0, _let(marks, clear)).otherwise(F.array().cast(kind))
 
 
 def _named(spans: Column, kind: str) -> Column:
@@ -248,14 +349,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     put = [F.transform(F.col(f"{k}_"), marked(i, k)) for i, k in enumerate(PATTERNS)]
     put.append(F.transform(terms, lambda x: F.struct(x["s"].alias("s"), F.lit(len(PATTERNS)).alias("i"), x["e"].alias("e"), F.when(x["action"] == "remove", "").otherwise("<TERM>").alias("r"))))
     rows = rows.withColumn("spans_", F.array_sort(F.concat(*put)))
-    x = F.col("x_")
-
-    def step(acc: Column, s: Column) -> Column:
-        free = s["s"] >= acc["at"]
-        out = F.when(free, F.concat(acc["out"], F.substr(x, acc["at"] + 1, s["s"] - acc["at"]), s["r"])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["e"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("spans_"), start, step, lambda acc: F.concat(acc["out"], F.substr(x, acc["at"] + 1, F.length(x))))
-    rows = rows.withColumn("clean_", F.when(F.size("spans_") > 0, clean).otherwise(F.col("raw")))
+    rows = rows.withColumn("clean_", F.when(F.size("spans_") > 0, replaced(F.col("x_"), F.col("spans_"))).otherwise(F.col("raw")))
     return rows.select(*[F.col("clean_").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in cols])
