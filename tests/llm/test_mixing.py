@@ -83,3 +83,42 @@ def test_only_null_texts(spark):
 @pytest.mark.parametrize("name", ["opN"])
 def test_every_operator_has_its_query(name):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("sorted_", [3, 50_000])
+def test_rows_that_repeat_are_cut_among_themselves(spark, monkeypatch, sorted_):
+    """A target that ends among equal rows is met, also when classes are split to the last digit."""
+    monkeypatch.setattr(mixing, "SORTED", sorted_)
+    rows = [(1, "a b c", "x")] * 1000 + [(i, f"w{i} " * 50, "y") for i in range(60)] + [(2, "d", "z")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    names = {1: "x", 2: "z"}
+    for s in "xyz":
+        own = [r for r in got if names.get(r.doc_id if r["size"] in (1, 3) else None, "y") == s]
+        assert own and abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
+    again = mixing.mix(df.repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert sum(r.taken for r in got) == sum(len(r.text.split()) for r in mixing.apply(df).collect())
+
+
+def test_split_classes_give_the_same(spark, sf, same, monkeypatch):
+    monkeypatch.setattr(mixing, "SORTED", 1)
+    monkeypatch.setattr(mixing, "CLASSES", 8)
+    same(mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")), queries.oracle_sql()["op10_mixing"])
+
+
+def test_a_column_of_weights(spark):
+    rows = [(i, "one two three", "a" if i < 2000 else "b", (0.05, 1.0, None, -1.0)[i % 4]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = mixing.mix(df, weight="w").where("doc_id < 2000").collect()
+    taken = [sum(r.taken for r in got if r.doc_id % 4 == k) for k in range(4)]
+    assert taken[1] > taken[0] > taken[2] and abs(taken[2] - taken[3]) < 300
+
+
+def test_many_sources(spark):
+    """More sources than any one list of them should hold: targets come from sums by ranges."""
+    sizes = {f"s{i * 7919 % 3001:05d}": i * 37 % 101 for i in range(3001)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = shares(sizes)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in sizes) and len(got) == len(sizes)
