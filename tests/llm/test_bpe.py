@@ -1,4 +1,6 @@
 import hashlib
+import json
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -40,26 +42,72 @@ def test_shared_passages_fall_into_the_same_chunks():
     assert len(parts(one) & parts(two)) >= len(parts(one)) - 2 > 3
 
 
-def test_chunks_that_disagree_are_merged():
+def test_chunks_that_disagree_are_merged(monkeypatch):
+    """The byte-level tokenizer keeps a space with the word after it, so its chunks never agree."""
     own = bpe.Encoder(PATHS[1])
-    own._agree = lambda a, b: False
     text = " ".join(f"word{i}" for i in range(2000))
     assert len(bpe.cuts(text.encode())) > 3 and own.encode(text) == want(PATHS[1], text)
+    assert set(own.chunks) == {text.encode()} and {v[0] for v in own.joins.values()} == {b""}
+
+
+def test_chunks_of_a_batch_are_encoded_once(monkeypatch):
+    shared = " ".join(f"word{i * 7919 % 10007}x" for i in range(3000))
+    texts = [f"{n} stands before it {shared} and {n} after".encode() for n in ("one", "two", "three")]
+    own, seen = bpe.Encoder(PATHS[0]), []
+    plain = own._encode
+    monkeypatch.setattr(own, "_encode", lambda some: seen.extend(some) or plain(some))
+    assert own.encode_all(texts) == [want(PATHS[0], t.decode()) for t in texts]
+    parts = [data[a:b] for data in texts for a, b in zip([0, *bpe.cuts(data)], [*bpe.cuts(data), len(data)])]
+    assert len(own.chunks) == len(set(parts)) < len(parts) / 2
+    words = [w for w in seen if w.isalnum()]
+    assert len(words) - len(set(words)) < len(own.joins) * 2 + 1
+    seen.clear()
+    assert own.encode_all(texts[::-1])[0] == want(PATHS[0], texts[2].decode()) and not seen
+
+
+def test_the_file_proves_that_words_stand_apart():
+    spec = json.loads(Path(PATHS[0]).read_text())
+    assert bpe.words_apart(spec) and not bpe.words_apart(json.loads(Path(PATHS[1]).read_text()))
+    for change in ({"post_processor": {"type": "x"}}, {"normalizer": {"type": "Prepend"}}, {"pre_tokenizer": None}, {"added_tokens": [{"content": "a b", "lstrip": False, "rstrip": False, "single_word": False}]}):
+        assert not bpe.words_apart(spec | change)
+    first = spec["pre_tokenizer"]["pretokenizers"][0]
+    for pattern in (r"\s?[\p{L}]+", r"[^\p{L}]+", "."):
+        assert not bpe.words_apart(spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [first | {"pattern": {"Regex": pattern}}]}})
 
 
 def test_stores_forget_the_older_generation():
-    store = bpe.Store(3)
+    store = bpe.Store(3 * bpe.ENTRY)
     for i in range(4):
-        store[i] = str(i)
+        store.learn(b"%d" % i, (b"x", b"y"), 1)
     store.trim()
-    assert len(store) == 0 and store[2] == "2" and list(store) == [2]
-    with pytest.raises(KeyError):
-        store[9]
+    assert len(store) == 0 and store.held == 0 and store.known(b"2") and list(store) == [b"2"] and not store.known(b"9")
+
+
+def test_stores_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 200_000)
+    monkeypatch.setattr(bpe, "CHUNKS", 200_000)
+    own = bpe.Encoder(PATHS[0])
+    for i in range(60):
+        own.encode(chr(0x4E00 + i) * 20_000 + " end")
+        assert sum(len(k) + len(v[0]) + len(v[1]) for s in (own.words, own.chunks) for g in (s, s.old) for k, v in g.items()) < 1_500_000
+
+
+@pytest.mark.parametrize("letter", ["a", "é", "漢", "😀"])
+@pytest.mark.parametrize("size", [1, 2, 7, 8, 9, 63, 4095, 4097, 70_000])
+def test_words_of_any_length_and_width(letter, size):
+    for text in (letter * size, f"{letter * size} x {letter * size}\nend", f" {letter * size}"):
+        assert bpe.encoder(PATHS[0]).encode(text) == want(PATHS[0], text)
+
+
+def test_a_word_of_a_megabyte():
+    text = "ab" * 500_000 + " and more"
+    assert bpe.encoder(PATHS[0]).encode(text) == want(PATHS[0], text)
 
 
 def test_small_stores_give_the_same_ids(monkeypatch):
-    monkeypatch.setattr(bpe, "WORDS", 16)
-    monkeypatch.setattr(bpe, "CHUNKS", 2)
+    monkeypatch.setattr(bpe, "WORDS", 4000)
+    monkeypatch.setattr(bpe, "CHUNKS", 1000)
+    monkeypatch.setattr(bpe, "JOINS", 500)
     own = bpe.Encoder(PATHS[0])
     for seed in range(5):
         text = " ".join(WORDS[(i * (seed + 3)) % len(WORDS)] + str(i % 9) for i in range(900))
@@ -92,4 +140,4 @@ def test_a_long_word_before_a_cut(path):
     cut = [t for t in texts if t.index(" ") + 3001 in bpe.cuts(t.encode())][:3]
     own = bpe.Encoder(path)
     assert len(cut) == 3 and all(own.encode(t) == want(path, t) for t in cut)
-    own._agree(("é" * 3000 + " ").encode(), b"x")
+    assert own._ends(("b é" + "é" * 3000 + " ").encode(), b"x y") == (("é" * 3001 + " ").encode(), b"x")

@@ -1,19 +1,25 @@
 """BPE encoding and decoding with content-defined chunks.
 
 A rolling hash over the text's bytes cuts it into chunks, always where a word
-starts, so that passages which documents share fall into the same chunks. A
-worker keeps the chunks and words that it has encoded, whatever document they
-came from, and encodes each once while it stays in its bounded store. Chunk
-joins are then proven: the words on both sides of a join are encoded together
-and must give the tokens that the chunks gave; where they don't, the chunks are
-merged and encoded again, until all joins agree.
+starts, so that passages which documents share fall into the same chunks. The
+texts of a batch are cut together: each distinct chunk that the worker's store
+doesn't hold is encoded once, whatever documents it came from. Chunk joins are
+then repaired: the words on both sides of a join are encoded together and must
+give the tokens that they give apart; where they don't, the chunks are merged and
+encoded again, until all joins agree.
+
+Where the tokenizer's file proves that white space leaves no trace in ids
+(``words_apart``), a new chunk is put together from its words, each distinct word
+of a batch being encoded once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,38 +30,44 @@ from tuplewise.llm.common import small_batches
 
 #: Bytes that the rolling hash sees; a chunk begins at a word start whose hash has its top BITS bits 0, one in 2**BITS.
 WINDOW, BITS = 8, 7
-#: Chunks and words that a worker keeps in each of a store's two generations.
-CHUNKS, WORDS = 2048, 180_000
+#: Bytes that a worker keeps of chunks, words and joins in each of a store's two generations, and what an entry takes besides its texts.
+CHUNKS, WORDS, JOINS, ENTRY = 6_000_000, 24_000_000, 3_000_000, 250
+#: Bytes of text that are cut and encoded together, unless one text is longer.
+BATCH = 2_000_000
 _SPACE = b" \t\n\r\x0b\x0c"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-#: Latin-1 letters, then ASCII signs: what is looked up in two pieces when the whole is not known.
-_TAILED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
-#: Words whose direct encoding is compared with the whole tokenizer's before it is trusted.
-TRIED = 2000
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: The characters that stand for bytes in byte-level vocabularies.
-_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _worker: dict[str, "Encoder"] = {}
 
 
 class Store(dict):
-    """A dictionary of two generations: once the younger is full it becomes the older, and that one goes.
+    """A dictionary of two generations, bounded in bytes: once the younger is full it becomes the older, and that one goes.
 
     What is looked up in the older one moves to the younger, so common entries stay.
     """
 
     def __init__(self, limit: int):
-        self.limit, self.old = limit, {}
-
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
+        self.limit, self.held, self.old = limit, 0, {}
+
+    def learn(self, key, value: tuple[bytes, bytes], size: int) -> None:
+        self[key] = value
+        self.held += size + len(value[0]) + len(value[1]) + ENTRY
+
+    def known(self, key) -> bool:
+        """Whether ``key`` is held; if only by the older generation, it moves."""
+        if key in self:
+            return True
+        value = self.old.get(key)
+        if value is None:
+            return False
+        self.learn(key, value, len(key) if isinstance(key, bytes) else sum(map(len, key)))
+        return True
 
     def trim(self) -> None:
-        if len(self) > self.limit:
+        if self.held > self.limit:
             self.old = dict(self)
             self.clear()
+            self.held = 0
 
 
 def cuts(data: bytes) -> list[int]:
@@ -70,11 +82,38 @@ def cuts(data: bytes) -> list[int]:
     return [i for i in chosen if data[i - 1] in _SPACE and data[i] not in _SPACE]
 
 
+#: An alternative of a split pattern that can't match white space: a clitic, letters, a digit, or other signs.
+_TIGHT = re.compile(r"'[a-z]+|\[?\\p\{[LN]\}\]?\+?|\[\^\\s(?:\\p\{[LN]\})*\]\+")
+
+
+def words_apart(spec: dict) -> bool:
+    """Whether a tokenizer's file proves that the ids of a text are those of its words, one word after another.
+
+    Words are what ASCII white space separates. Each step must keep to one word: NFC
+    and lower-casing look across no space; white space is at most made one space;
+    the split keeps only matches, and its pattern matches no white space; bytes are
+    then mapped within a match; no added token holds or strips white space; and
+    nothing is put around the whole.
+    """
+    steps = spec.get("normalizer") or {}
+    for n in steps.get("normalizers", [steps]):
+        collapse = n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " "
+        if n.get("type") not in (None, "NFC", "Lowercase") and not collapse:
+            return False
+    first, *others = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    if not split or not all(map(_TIGHT.fullmatch, first["pattern"].get("Regex", "").split("|"))):
+        return False
+    if not all(o.get("type") == "ByteLevel" and not o.get("add_prefix_space") and not o.get("use_regex") for o in others):
+        return False
+    added = spec.get("added_tokens") or []
+    return not spec.get("post_processor") and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+
+
 class Encoder:
-    """One worker's tokenizer and what it has encoded.
+    """One worker's tokenizer and what it has encoded: (ids as decimal text, decoded text), in bytes.
 
-    Ids are kept as decimal text, in bytes: pieces that agree at their joins are put
-    together by one space.
+    Pieces that agree at their joins are put together by one space.
     """
 
     def __init__(self, path: str):
@@ -83,140 +122,108 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.chunks, self.words, self.letters, self.joins = Store(CHUNKS), Store(WORDS), Store(WORDS), Store(WORDS // 8)
-        self.model, self.direct, self.tried = self.tok.model, True, 0
+        self.chunks, self.words, self.joins = Store(CHUNKS), Store(WORDS), Store(JOINS)
         size = self.tok.get_vocab_size()
         self.shown = [str(i).encode() for i in range(size)]
         #: Without a decoder tokens are joined by spaces, so decoding is a lookup.
         self.plain = self.tok.decoder is None
-        self.names = {str(i).encode(): (self.tok.id_to_token(i) or "").encode() for i in range(size)}
-        #: Whether some word has no tokens, trailing signs proven to join, and whether case leaves no trace in ids.
-        self.blank = False
-        self.tails: dict[bytes, bytes] = {}
-        letters = [chr(x) + y for x in (*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)) for y in ("", "b")]
-        self.lower = all(self._ids(x) == self._ids(x.lower()) for x in letters)
-        #: White space leaves no trace in ids, so that words can be encoded one by one and joined.
-        probe = "Ab c'd\n e9\t\tfé! <g> h"
-        self.by_word = self.plain and self._ids(probe) == [i for w in probe.split() for i in self._ids(w)]
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _text(self, ids: list[int]) -> bytes:
-        return b" ".join([self.shown[i] for i in ids])
-
-    def _letters(self, word: bytes) -> bytes:
-        """The ids of a run of lower-case letters: from the BPE model itself, as long as the whole tokenizer agrees on those tried."""
-        if self.direct:
-            text = word.decode() if word.isascii() else "".join(map(_BYTES.__getitem__, word))
-            shown = self.shown
-            own = b" ".join([shown[t.id] for t in self.model.tokenize(text)])
-            if self.tried >= TRIED:
-                return own
-            self.tried += 1
-            self.direct = own == self._text(self._ids(word.decode()))
-            if self.direct:
-                return own
-        return self._text(self._ids(word.decode()))
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Put ``words`` into the store: in two pieces, letters and trailing signs, where that join is proven; else whole."""
-        whole, known, older, letters, tails = [], self.words, self.words.old, self.letters, self.tails
-        for word in words:
-            own = older.get(word)
-            if own is None:
-                m = _TAILED.fullmatch(word) if self.lower else None
-                if m is None or not (m[2] in tails or self._tail(m[1], m[2])):
-                    whole.append(word)
-                    continue
-                core = m[1].lower() if m[1].isascii() else m[1].decode().lower().encode()
-                try:
-                    own = letters[core]
-                except KeyError:
-                    own = letters[core] = self._letters(core)
-                own += tails[m[2]]
-            known[word] = own
-        for at in range(0, len(whole), 1000):
-            some = whole[at : at + 1000]
-            for word, got in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                known[word] = self._text(got.ids)
-                self.blank = self.blank or not known[word]
-
-    def _tail(self, letters: bytes, signs: bytes) -> bool:
-        """Whether these signs are seen to join letters without change, whatever the letters' case."""
-        word, tail = (letters + signs).decode(), signs.decode()
-        own = self._ids(tail) if tail else []
-        if self._ids(word) != self._ids(letters.decode().lower()) + own:
-            return False
-        if len(self.tails) > 100_000:
-            self.tails.clear()
-        self.tails[signs] = b" " + self._text(own) if own else b""
-        return True
-
-    def _chunk(self, data: bytes) -> bytes:
-        if not self.by_word:
-            return self._text(self._ids(data.decode()))
-        words = data.split()
+        self.names = [(self.tok.id_to_token(i) or "").encode() for i in range(size)]
+        self.by_word = self.plain and words_apart(json.loads(Path(path).read_text("utf-8")))
+
+    def _pair(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return b" ".join([self.shown[i] for i in ids]), b" ".join([self.names[i] for i in ids]) if self.plain else b""
+
+    def _encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        for got in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
+            yield self._pair(got.ids)
+
+    def _learn(self, store: Store, texts: Iterable[bytes], by_word: bool) -> None:
+        """Have ``store`` hold each of ``texts``, encoding the new ones together."""
+        new = [t for t in dict.fromkeys(texts) if not store.known(t)]
+        if not by_word:
+            for text, pair in zip(new, self._encode(new)):
+                store.learn(text, pair, len(text))
+            return
+        cut = [t.split() for t in new]
         get = self.words.get
-        got = list(map(get, words))
-        if None in got:
-            self._learn([w for w, g in zip(words, got) if g is None])
-            got = list(map(get, words))
-        ids = b" ".join(got)
-        return b" ".join(ids.split()) if self.blank else ids
-
-    def _word(self, data: bytes) -> bytes:
-        return self._chunk(data) if self.by_word else self._text(self._ids(data.decode()))
-
-    def _agree(self, left: bytes, right: bytes) -> bool:
-        """Whether the last word of ``left`` and the first of ``right`` encode together to what they encode to apart."""
+        missing = [w for own in cut for w in own if get(w) is None]
+        if missing:
+            self._learn(self.words, missing, False)
+        for text, own in zip(new, cut):
+            got = [x for x in map(get, own) if x[0]]
+            ids, names = zip(*got) if got else ((), ())
+            store.learn(text, (b" ".join(ids), b" ".join(names)), len(text))
+
+    def _ends(self, left: bytes, right: bytes) -> tuple[bytes, bytes]:
+        """The last word of ``left`` with the white space after it, and the first of ``right``."""
         last = left.rsplit(None, 1)
-        a = left[len(left.rstrip()) - len(last[-1]) :] if last else left
-        b = right[: _WORD.search(right).end()] if right.strip() else right
-        try:
-            return self.joins[a, b]
-        except KeyError:
-            apart = b" ".join(x for x in (self._word(a), self._word(b)) if x)
-            same = self.joins[a, b] = self._text(self._ids((a + b).decode())) == apart
-            return same
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """The ids of ``text`` as decimal text, and decoded."""
-        data = text.encode()
-        bounds = [0, *cuts(data), len(data)]
-        parts = [data[a:b] for a, b in zip(bounds, bounds[1:])]
-        if len(parts) > 1:
-            merged = parts[:1]
-            for part in parts[1:]:
-                # parts that don't agree become one, whose next join is looked at in turn
-                if self._agree(merged[-1], part):
+        begin = _WORD.search(right)
+        return left[len(left.rstrip()) - len(last[-1]) :] if last else left, right[: begin.end()] if begin else right
+
+    def _agreed(self, joins: list[tuple[bytes, bytes]]) -> None:
+        """Have ``joins`` hold of each pair whether it encodes together to what its parts encode to apart."""
+        new = [j for j in dict.fromkeys(joins) if not self.joins.known(j)]
+        if new:
+            got = [x for x, _ in self._encode([t for a, b in new for t in (a, b, a + b)])]
+            for j, a, b, both in zip(new, got[::3], got[1::3], got[2::3]):
+                self.joins.learn(j, (b"1" if b" ".join(x for x in (a, b) if x) == both else b"", b""), len(j[0]) + len(j[1]))
+
+    def encode_all(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids of each text as decimal text, and the decoded text."""
+        parts = []
+        for data in texts:
+            bounds = [0, *cuts(data), len(data)]
+            parts.append([data[a:b] for a, b in zip(bounds, bounds[1:])])
+        # a chunk begins with a word, so what stands at a join stays the same when chunks are merged
+        ends = [[self._ends(a, b) for a, b in zip(own, own[1:])] for own in parts]
+        self._agreed([e for own in ends for e in own])
+        for own, at in zip(parts, ends):
+            merged = own[:1]
+            for part, e in zip(own[1:], at):
+                if self.joins[e][0]:
                     merged.append(part)
                 else:
                     merged[-1] += part
-            parts = merged
+            own[:] = merged
+        self._learn(self.chunks, (p for own in parts for p in own), self.by_word)
         out = []
-        for part in parts:
-            try:
-                piece = self.chunks[part]
-            except KeyError:
-                piece = self.chunks[part] = self._chunk(part)
-            if piece:
-                out.append(piece)
-        for store in (self.chunks, self.joins, self.words, self.letters):
+        for own in parts:
+            got = [x for x in map(self.chunks.__getitem__, own) if x[0]]
+            ids = b" ".join([x for x, _ in got])
+            if self.plain:
+                out.append((ids, b" ".join([x for _, x in got])))
+            else:
+                out.append((ids, self.tok.decode([int(i) for i in ids.split()], skip_special_tokens=False).encode()))
+        for store in (self.chunks, self.joins, self.words):
             store.trim()
-        ids = b" ".join(out)
-        if self.plain:
-            return ids, b" ".join(map(self.names.__getitem__, ids.split()))
-        return ids, self.tok.decode([int(i) for i in ids.split()], skip_special_tokens=False).encode()
+        return out
+
+    def encode(self, text: str) -> tuple[bytes, bytes]:
+        return self.encode_all([text.encode()])[0]
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for the tokenizer at ``path``, kept between tasks."""
+    """This worker's encoder for the tokenizer at ``path``, kept between tasks; its stores are bounded in bytes."""
     if path not in _worker:
+        _worker.clear()
         _worker[path] = Encoder(path)
     return _worker[path]
 
 
+def _groups(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts in lists of BATCH bytes at most, or of one text."""
+    held, size = [], 0
+    for x in texts:
+        data = (x.as_py() or "").encode()
+        if held and size + len(data) > BATCH:
+            yield held
+            held, size = [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield held
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -253,10 +260,10 @@ def encode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
         own = encoder(path)
         for batch in batches:
             made: list[list] = [[] for _ in outputs]
-            for x in batch.column(len(keep)):
-                ids, decoded = own.encode(x.as_py() or "")
-                for to, o in zip(made, outputs):
-                    to.append(OUTPUTS[o][2](ids, decoded))
+            for texts in _groups(batch.column(len(keep))):
+                for ids, decoded in own.encode_all(texts):
+                    for to, o in zip(made, outputs):
+                        to.append(OUTPUTS[o][2](ids, decoded))
             new = [pa.array(x, OUTPUTS[o][1]) for x, o in zip(made, outputs)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names)
 
