@@ -211,11 +211,14 @@ def components_of(rows: DataFrame) -> DataFrame:
     """
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
     prints = materialise(rows.groupBy("print").agg(F.min(first).alias("own")))
-    roots = components(links(prints.select("print", F.col("print").alias("node"))))
+    near = links(prints.select("print", F.col("print").alias("node")))
+    edges = materialise(near)
+    forget(near)
+    roots = components(edges)
     grouped = materialise(prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "own", F.coalesce("root", "print").alias("root")))
     least = materialise(grouped.groupBy("root").agg(F.min("own").alias("least")))
     out = materialise(grouped.join(small(least), "root").select("print", "least"))
-    forget(grouped, least, prints, roots)
+    forget(grouped, least, prints, edges, roots)
     return out
 
 
