@@ -1,7 +1,9 @@
 """The corpus pipeline: what a raw table of documents becomes on its way to tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's ``docs``.
+as Parquet and read again as the next stage's ``docs``. Columns beyond those of
+``documents`` are kept up to the last stage; repeated rows and ids are rows like
+any other; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,29 +16,45 @@ from tuplewise.llm.common import materialise, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart; the others go. ``lang`` becomes the predicted language."""
+    """Documents whose language is told apart; the others go. ``lang`` becomes the predicted language.
+
+    Null texts and texts without a letter have no language and go.
+    """
     told = langid.identify(docs).where("not rejected")
     return told.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Documents are told apart by id and fingerprint, so a text whose id another text
+    has too is not lost; null ids come after all others.
+    """
     return simhash.one_each(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it replaced in the text; ``n_chars`` follows."""
+    """Personal data and the terms that disclose it replaced in the text; ``n_chars`` follows.
+
+    All rows stay; null texts stay null.
+    """
     clean = pii.sanitise(docs)
     return clean.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in clean.dtypes])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, never oftener than three times.
+
+    A null source is a source of its own; documents without words go.
+    """
     return mixing.apply(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document as tokens: doc_id, n_tokens, ids and the digests of ids and decoded text."""
+    """Every remaining document as tokens: doc_id, n_tokens, ids and the digests of ids and decoded text.
+
+    Null and empty texts have no tokens.
+    """
     return bpe.encode(docs, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
