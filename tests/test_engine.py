@@ -212,3 +212,15 @@ def test_a_list_after_any_number_of_blanks(spark, tmp_path):
 def test_dates(spark, text, fits):
     df = spark.createDataFrame([(text,)], "x string")
     assert df.select(V.date()(F.col("x")).alias("y")).first().y == fits
+
+
+def test_eager_relations_come_along(spark, sf):
+    from tuplewise.catalog import EntityCatalog, Relation
+    from tuplewise.sources import tables
+    from tuplewise.tables import entities
+
+    own = entities()
+    nation = next(e for e in own if e.name == "Nation")
+    nation.relations["region"] = Relation("Region", "regionKey", required=True, eager=True)
+    rows = Engine(spark, EntityCatalog(own, tables.parquet(spark, sf))).find_by("Nation", {"regionKey": [1, 2]}, "name").collect()
+    assert len(rows) == 10 and all(r.region.regionKey == r.regionKey and r.region.name for r in rows)

@@ -38,13 +38,14 @@ class Column:
 class Relation:
     """A reference to one ``target``: local property = referenced property (its key by default).
 
-    ``required`` makes joins over it inner ones.
+    ``required`` makes joins over it inner ones; with ``eager`` find_by() brings what it leads to along.
     """
 
     target: str
     local: str | None = None
     referenced: str | None = None
     required: bool = False
+    eager: bool = False
 
 
 @dataclass(frozen=True)

@@ -78,7 +78,7 @@ class Engine:
 
     def find_by(self, entity: str, conditions: dict[str, object], sort: str = "") -> DataFrame:
         """Rows whose properties equal the given values (None: is null; a list: any of them), each entity once: by its
-        key, or without one by all its columns."""
+        key, or without one by all its columns. Each eager relation adds a column with what it leads to, as a struct."""
         e = self.catalog.entity(entity)
         parts, params = [], {}
         for i, (prop, value) in enumerate(conditions.items()):
@@ -93,6 +93,9 @@ class Engine:
                 params[f"p{i}"] = value
         out = self._rows(e, "", f" where {' and '.join(parts)}" if parts else "", params)
         out = out.dropDuplicates([e.key] if e.key else None)
+        for name, relation in e.relations.items():
+            if relation.eager:
+                out = self._attached(out, e, name, name)
         orders = [x.split() for x in sort.split(",") if x.strip()]
         return out.orderBy(*[F.col(p[0]).desc() if p[1:] and p[1].lower() == "desc" else F.col(p[0]).asc() for p in orders]) if orders else out
 
@@ -106,15 +109,18 @@ class Engine:
         and rows of other kinds are left out.
         """
         e = self.catalog.entity(entity)
+        return self._attached(self._rows(e), e, relation, into or relation)
+
+    def _attached(self, rows: DataFrame, e, relation: str, into: str) -> DataFrame:
         joined = e.join_of(relation, self.catalog)
         if joined is None:
-            raise QueryError("semantic_error", f"{entity} has no relation {relation}")
+            raise QueryError("semantic_error", f"{e.name} has no relation {relation}")
         target, here, there, required = joined
-        other, into = self._rows(self.catalog.entity(target)), into or relation
+        other = self._rows(self.catalog.entity(target))
         packed = other.select(F.col(there).alias("__there"), F.struct(*other.columns).alias(into))
         if relation in e.inverses:
             packed = packed.groupBy("__there").agg(F.collect_list(into).alias(into))
-        return self._rows(e).join(packed, F.col(here) == F.col("__there"), "inner" if required else "left").drop("__there")
+        return rows.join(packed, F.col(here) == F.col("__there"), "inner" if required else "left").drop("__there")
 
     def _rows(self, e, directives: str = "", where: str = "", params: dict | None = None) -> DataFrame:
         """An entity's rows, columns by property, as a query sees them."""
