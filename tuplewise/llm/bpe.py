@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -26,18 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from tuplewise.llm.common import keep as keep_
 from tuplewise.llm.common import small_batches
 
 #: Bytes that the rolling hash sees; a chunk begins at a word start whose hash has its top BITS bits 0, one in 2**BITS.
 WINDOW, BITS = 8, 7
 #: Bytes that a worker keeps of chunks, words and joins in each of a store's two generations, and what an entry takes besides its texts.
-CHUNKS, WORDS, JOINS, ENTRY = 6_000_000, 24_000_000, 3_000_000, 250
-#: Bytes of text that are cut and encoded together, unless one text is longer.
-BATCH = 2_000_000
+CHUNKS, WORDS, JOINS, ENTRY = 3_000_000, 16_000_000, 2_000_000, 300
+#: Bytes of text that are cut and encoded together, unless one text is longer; pieces in one call of the tokenizer.
+BATCH, CALL = 1_000_000, 512
 _SPACE = b" \t\n\r\x0b\x0c"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-_worker: dict[str, "Encoder"] = {}
 
 
 class Store(dict):
@@ -119,6 +120,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a task has one core; threads of its own would only keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
@@ -134,8 +137,9 @@ class Encoder:
         return b" ".join([self.shown[i] for i in ids]), b" ".join([self.names[i] for i in ids]) if self.plain else b""
 
     def _encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for got in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
-            yield self._pair(got.ids)
+        for at in range(0, len(texts), CALL):
+            for got in self.tok.encode_batch_fast([t.decode() for t in texts[at : at + CALL]], add_special_tokens=False):
+                yield self._pair(got.ids)
 
     def _learn(self, store: Store, texts: Iterable[bytes], by_word: bool) -> None:
         """Have ``store`` hold each of ``texts``, encoding the new ones together."""
@@ -204,10 +208,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for the tokenizer at ``path``, kept between tasks; its stores are bounded in bytes."""
-    if path not in _worker:
-        _worker.clear()
-        _worker[path] = Encoder(path)
-    return _worker[path]
+    return keep_("bpe", path, lambda: Encoder(path))
 
 
 def _groups(texts: pa.Array) -> Iterator[list[bytes]]:

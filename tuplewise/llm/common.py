@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +19,9 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8_000_000
 #: Rows and bytes of one Arrow batch, so that a Python worker holds few texts at once.
 TEXT_BATCH, TEXT_BYTES = 512, 4_000_000
 
+T = TypeVar("T")
+_LIBC = ctypes.CDLL(None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,6 +90,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: What this Python worker keeps between tasks, of one operator at a time.
+_kept: dict = {}
+
+
+def keep(operator: str, key: object, make: Callable[[], T]) -> T:
+    """This worker's object for ``key``, made once.
+
+    What was kept before goes first and its memory is given back: workers are used
+    again by later stages, which should not pay for what earlier ones held.
+    """
+    if (operator, key) not in _kept:
+        _kept.clear()
+        gc.collect()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+        _kept[operator, key] = make()
+    return _kept[operator, key]
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

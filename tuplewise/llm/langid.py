@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tuplewise.llm.common import held_out, small_batches
+from tuplewise.llm.common import keep as keep_
 
 #: Sample: documents for each language, bytes taken of each, bytes of a dictionary; and the compression level.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY, LEVEL = 192, 2048, 98_304, 5
@@ -20,7 +21,6 @@ MARGIN_BYTES, MARGIN_SHARE = 1, 0.004
 UNKNOWN = "und"
 ADDED = "lang_pred string, score double, rejected boolean"
 _SIGNS = bytes(x for x in range(33, 127) if not chr(x).isalpha())
-_worker: dict = {}
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", allowed=None) -> dict[str, bytes]:
@@ -75,19 +75,20 @@ def dictionaries(texts: dict[str, list[bytes]]) -> dict[str, bytes]:
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> list:
+    """(name, compressor) of each language, kept by the worker."""
     import zstandard
 
-    key = hash(tuple(dictionaries.items()))
-    if key not in _worker:
-        _worker.clear()
-        params = lambda: zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    def made() -> list:
+        shape = {"format": zstandard.FORMAT_ZSTD1_MAGICLESS, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
         out = []
         for name, data in dictionaries.items():
             own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(compression_params=params())
-            out.append((name, zstandard.ZstdCompressor(dict_data=own, compression_params=params())))
-        _worker[key] = out
-    return _worker[key]
+            own.precompute_compress(compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, **shape))
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, **shape)
+            out.append((name, zstandard.ZstdCompressor(dict_data=own, compression_params=params)))
+        return out
+
+    return keep_("langid", tuple(dictionaries.items()), made)
 
 
 def has_letter(text: str) -> bool:

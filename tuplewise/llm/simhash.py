@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tuplewise.llm.common import forget, materialise, small, small_batches
+from tuplewise.llm.common import forget, keep, materialise, small, small_batches
 
 BITS, DIFFER, SEGMENTS, WORDS, SEED = 64, 2, 9, 3, 42
 #: Fingerprints in a bucket that are compared with each other; a larger bucket's are linked through midpoints.
@@ -36,6 +36,7 @@ def _fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
+    keep("simhash", None, lambda: None)
     return pa.array([_fingerprint(x.as_py()) for x in texts], pa.int64())
 
 
